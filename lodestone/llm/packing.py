@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of_texts, cut
@@ -23,6 +23,7 @@ PACKER_PIECES = 50_000
 #: Words whose ids a worker keeps, in each of two generations.
 CACHE_WORDS = 500_000
 
+_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _LENGTHS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[str, "WordTokenizer"] = {}
 
@@ -67,28 +68,29 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut at ``capacity``.
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, window: Column | None = None) -> DataFrame:
+    """(window, doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut at ``capacity``.
 
-    Null text counts as empty: one piece with the end id alone.
+    Null text counts as empty: one piece with the end id alone.  ``window``: what is packed together, see ``pack``.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    within = F.xxhash64(F.lit(0) if window is None else window)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), within.alias("window"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer)
         for batch, texts in batches_of_texts(batches):
             ids = batch.column(0).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, coded in zip(ids, encoder.encode([t.decode() for t in texts])):
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for doc_id, within, coded in zip(ids, batch.column(2).to_pylist(), encoder.encode([t.decode() for t in texts])):
                 coded += end
                 for k in range(0, len(coded), 4 * capacity):
                     part = coded[k : k + 4 * capacity]
-                    for column, value in zip(out, (doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))):
+                    for column, value in zip(out, (within, doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 2 else pa.int64()) for i, x in enumerate(out)], ["window", *_NAMES])
 
-    return rows.mapInArrow(run, _LENGTHS)
+    return rows.mapInArrow(run, "window long, " + _LENGTHS)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +138,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[
         bins, offsets = sum_of_squares(rows.column(4).to_numpy(), capacity)
         # A group's sequences are numbered within its own 2**32.
         numbers = (np.int64(group) << np.int64(32)) + bins
-        yield from pa.table([*rows.columns[1:], pa.array(numbers), pa.array(offsets)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]).to_batches()
+        yield from pa.table([*rows.columns[1:], pa.array(numbers), pa.array(offsets)], [*_NAMES, "sequence_id", "offset"]).to_batches()
 
     for batch in batches:
         groups = batch.column(0).to_numpy()
@@ -154,22 +156,25 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[
 def pack(rows: DataFrame, capacity: int = CAPACITY, packer_pieces: int = PACKER_PIECES) -> DataFrame:
     """``pieces`` rows with sequence_id and offset; each sequence is gapless from 0.
 
-    Pieces are dealt to packers by a hash of id and piece; how many packers there are follows from the row count,
-    so a packer's memory doesn't grow with the table.  Ties between equal lengths go by id, so that a lost
-    task's second run makes the same sequences.
+    Pieces of one window are packed together.  A window is dealt to packers by a hash of id and piece; how many
+    follows from the largest window's count, so a packer's memory doesn't grow with the table.  Ties between equal
+    lengths go by id, so that a lost task's second run makes the same sequences.
     """
     rows = cut(rows)
-    packers = max(1, round(rows.count() / packer_pieces))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers)).alias("_group"), "*")
-    return dealt.repartition(packers, "_group").sortWithinPartitions("_group", "doc_id", "piece", "start", "ids_crc32").mapInArrow(lambda b: _pack_batches(b, capacity), _LENGTHS + ", sequence_id long, offset long")
+    largest = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    packers = max(1, round(largest / packer_pieces))
+    group = F.pmod(F.xxhash64("window", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers))), F.lit((1 << 31) - 1))
+    dealt = rows.select(group.alias("_group"), *_NAMES)
+    tasks = max(packers, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(tasks, "_group").sortWithinPartitions("_group", *_NAMES).mapInArrow(lambda b: _pack_batches(b, capacity), _LENGTHS + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, window: Column | None = None) -> DataFrame:
     """Every piece of every document and its place: see ``pieces`` and ``pack``.
 
     An empty table gives no rows; documents that repeat an id are packed each for itself; a null id stays null.
     """
-    return pack(pieces(docs, tokenizer, id_col, text_col, capacity), capacity)
+    return pack(pieces(docs, tokenizer, id_col, text_col, capacity, window=window), capacity)
 
 
 def sequences(docs: DataFrame, placements: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

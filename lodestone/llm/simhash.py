@@ -22,6 +22,10 @@ from .components import connected_components
 BITS = 64
 #: A bucket with more fingerprints is dealt to several tasks, by pairs of its parts.
 BUCKET_ROWS = 2000
+#: The average bucket is kept at or below this.
+MEAN_ROWS = 128
+#: A trie's leaves hold up to so many fingerprints.
+LEAF = 8
 #: Node pairs that a walk expands at once.
 FRONTIER = 1 << 17
 #: Bytes of shingle bits that are counted at once.
@@ -62,17 +66,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def block_scheme(distinct: int, budget: int, bucket_rows: int = BUCKET_ROWS) -> list[int]:
+def block_scheme(distinct: int, budget: int, mean_rows: int = MEAN_ROWS) -> list[int]:
     """Bit masks, one per combination of blocks, such that a pair within ``budget`` agrees under one of them.
 
-    With budget + m blocks, m blocks at least are equal.  The least m whose buckets hold ``bucket_rows``
+    With budget + m blocks, m blocks at least are equal.  The least m whose buckets hold ``mean_rows``
     fingerprints or fewer on average is taken; all choices find the same pairs.
     """
     for m in range(1, 5):
         blocks = budget + m
         edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
         masks = [sum(((1 << (b - a)) - 1) << (BITS - b) for a, b in (edges[j : j + 2] for j in chosen)) for chosen in itertools.combinations(range(blocks), m)]
-        if distinct / 2.0 ** min(bin(x).count("1") for x in masks) <= bucket_rows:
+        if distinct / 2.0 ** min(bin(x).count("1") for x in masks) <= mean_rows:
             break
     return masks
 
@@ -113,7 +117,7 @@ def _split(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> n
         left = np.where(open_ & ~is_set, mid + 1, left)
 
 
-def trie_components(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, parts: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def trie_components(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> np.ndarray:
     """For tries [start, end) of sorted uint64 values: each position's least position of the same component.
 
     Pairs of nodes are expanded depth first, nearest first, in frontiers of bounded size; a pair of nodes whose
@@ -135,10 +139,14 @@ def trie_components(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget
         first_a, first_b = np.minimum(a0, len(fp) - 1), np.minimum(b0, len(fp) - 1)
         useful &= ~((change[first_a] == change[last_a]) & (change[first_b] == change[last_b]) & (root[first_a] == root[first_b]))
         a0, a1, b0, b1, bit, diff, same = (x[useful] for x in (a0, a1, b0, b1, bit, diff, same))
-        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
+        leaf = (a1 - a0 <= LEAF) & (b1 - b0 <= LEAF)
         if leaf.any():
-            x, y = a0[leaf], b0[leaf]
-            near = np.bitwise_count(fp[x] ^ fp[y]) <= budget
+            x0, y0, nx, ny = a0[leaf], b0[leaf], (a1 - a0)[leaf], (b1 - b0)[leaf]
+            pairs = nx * ny
+            at = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            across = np.repeat(ny, pairs)
+            x, y = np.repeat(x0, pairs) + at // across, np.repeat(y0, pairs) + at % across
+            near = (x != y) & (np.bitwise_count(fp[x] ^ fp[y]) <= budget)
             forest.link(x[near], y[near])
             a0, a1, b0, b1, bit, diff, same = (x[~leaf] for x in (a0, a1, b0, b1, bit, diff, same))
         if not len(a0):
@@ -205,7 +213,7 @@ def fingerprint_links(reps: DataFrame, budget: int = 4, bucket_rows: int = BUCKE
     ``reps`` has one row (fp, rep) per distinct fingerprint.  Buckets of more than ``bucket_rows`` are dealt out
     by pairs of parts; each task returns a spanning forest, never pairs.
     """
-    masks = block_scheme(reps.count(), budget, bucket_rows)
+    masks = block_scheme(reps.count(), budget)
     keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("b")) for i, m in enumerate(masks)]))
     rows = reps.select("fp", "rep", keyed.alias("_b")).select(F.xxhash64("_b.s", "_b.b").alias("k"), "fp", "rep")
     large = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_rows).select(fresh_key(F.col("k")).alias("_k"), F.ceil(F.col("n") / bucket_rows).cast("int").alias("g"))
@@ -226,7 +234,8 @@ def fingerprint_links(reps: DataFrame, budget: int = 4, bucket_rows: int = BUCKE
             u, v = _tree_links(ids, root)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(run, "u long, v long")
+    tasks_wanted = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks_wanted, "k").sortWithinPartitions("k").mapInArrow(run, "u long, v long")
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
