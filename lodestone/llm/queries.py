@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, simhash
+from . import exact_dedup, mixing, packing, quality, simhash, warc
 
 
 def _public_tokenizer(name: str) -> str:
@@ -31,6 +31,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality.score_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -41,6 +45,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE = {
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+            FROM pages
+        )
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM p
+    """,
     "op2_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
