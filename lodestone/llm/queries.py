@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hnsw, mixing, packing, quality, simhash, warc
+from . import exact_dedup, hnsw, mixing, packing, quality, simhash, toxicity, warc
 
 
 def _public_tokenizer(name: str) -> str:
@@ -44,6 +44,11 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
