@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hnsw, mixing, packing, quality, simhash, toxicity, warc
+from . import exact_dedup, hnsw, langid, mixing, packing, quality, simhash, toxicity, warc
 
 
 def _public_tokenizer(name: str) -> str:
@@ -40,6 +40,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return langid.predict_languages(docs, langid.fit_languages(docs))
+
+
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
