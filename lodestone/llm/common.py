@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,18 +62,27 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
+#: Rows reach Python in Arrow batches of about so many bytes.
+ARROW_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over batches of about ARROW_BYTES, so that a worker's memory doesn't follow the length of texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def batches_of_texts(batches: Iterator[pa.RecordBatch], limit_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Arrow batches of (id, text), cut so that one holds about ``limit_bytes`` of text at most, with the texts as bytes.
 
     The second column must be binary or string; nulls give empty texts.  A single longer text makes a batch of its own.
     """
     for batch in batches:
-        texts = [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+        texts = batch.column(1).cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         start, held = 0, 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > limit_bytes:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, size in enumerate([*sizes, limit_bytes + 1]):
+            if i > start and held + size > limit_bytes:
+                yield batch.slice(start, i - start), [x or b"" for x in texts.slice(start, i - start).to_pylist()]
                 start, held = i, 0
-            held += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            held += size

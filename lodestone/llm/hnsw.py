@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 #: Distinct vectors per shard, on average.
 SHARD_ROWS = 4096
@@ -224,7 +224,7 @@ def distinct_vectors(table: DataFrame, id_col: str, vector_col: str, keep_ids: i
                     own.append(int(ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], ["vector", "ids"])
 
-    once = rows.mapInArrow(gather, "vector binary, ids array<long>")
+    once = map_arrow(rows, gather, "vector binary, ids array<long>")
     salted = once.groupBy("vector", F.pmod(F.xxhash64("ids"), F.lit(_MERGE_SALTS)).alias("s")).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep_ids).alias("ids"))
     return salted.groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep_ids).alias("ids"))
 
@@ -263,7 +263,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataF
             yield built()
 
     tasks = max(shards, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    made = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "vector").mapInArrow(make, "shard int, graph binary, ids binary")
+    made = map_arrow(dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "vector"), make, "shard int, graph binary, ids binary")
     return cut(made), shards
 
 
@@ -285,7 +285,7 @@ def nearest(table: DataFrame, query_modulus: int = 20, k: int = 20, id_col: str
                 some = slice(i, i + QUERY_BLOCK)
                 yield pa.RecordBatch.from_pydict({"ids": [batch.column(0).to_numpy()[at[some]].astype("<i8").tobytes()], "vectors": [m[some].astype("<f8").tobytes()]})
 
-    blocks = rows.mapInArrow(pack, "ids binary, vectors binary")
+    blocks = map_arrow(rows, pack, "ids binary, vectors binary")
     asked = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("vectors").alias("a"), F.col("ids").alias("b"))
     both = index.select("shard", F.lit(0).alias("kind"), F.col("graph").alias("a"), F.col("ids").alias("b")).unionByName(asked)
 
@@ -318,7 +318,7 @@ def nearest(table: DataFrame, query_modulus: int = 20, k: int = 20, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
 
     tasks = max(shards, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = both.repartition(tasks, "shard").sortWithinPartitions("shard", "kind").mapInArrow(ask, "query_id long, ids array<long>, scores array<double>")
+    found = map_arrow(both.repartition(tasks, "shard").sortWithinPartitions("shard", "kind"), ask, "query_id long, ids array<long>, scores array<double>")
     pairs = found.select("query_id", F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("far"), x["ids"].alias("vec_id"))).alias("best"))
     merged = lambda df, *keys: df.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     part = merged(pairs.withColumn("s", F.pmod(F.xxhash64("best"), F.lit(_MERGE_SALTS))), "query_id", "s")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, crc_bucket
+from .common import batches_of_texts, crc_bucket, map_arrow
 from .labelled import bounded_sample
 
 HIDDEN, CONTEXT = 8, 12
@@ -198,5 +198,5 @@ def predict_languages(docs: DataFrame, net: ByteLanguageNet, id_col: str = "doc_
                 langs[some], scores[some] = np.array(net.languages, object)[p.argmax(1)], p.max(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    found = rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = map_arrow(rows, run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, crc_bucket
+from .common import batches_of_texts, crc_bucket, map_arrow
 from .labelled import bounded_sample
 
 CELL, CHUNK_CELLS, CHUNK_STEP = 64, 4, 2
@@ -179,7 +179,7 @@ def score_quality(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", tex
         for batch, texts in batches_of_texts(batches, 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(texts))], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = map_arrow(rows, run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -195,4 +195,4 @@ def keep_good(docs: DataFrame, net: ByteConvNet, text_col: str = "text") -> Data
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= THRESHOLD))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, hnsw, langid, mixing, packing, quality, simhash, toxicity, warc
+from . import exact_dedup, hnsw, langid, lm, mixing, packing, quality, simhash, toxicity, warc
+from .common import crc_bucket
 
 
 def _public_tokenizer(name: str) -> str:
@@ -54,6 +56,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = crc_bucket(F.col("doc_id"), 7) == 2
+    return lm.score_texts(docs, lm.fit(docs, F.coalesce(~held_out, F.lit(True))), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

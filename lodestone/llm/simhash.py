@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, cut, fresh_key
+from .common import batches_of_texts, cut, fresh_key, map_arrow
 from .components import connected_components
 
 BITS = 64
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(rows, run, "doc_id long, fp long")
 
 
 def block_scheme(distinct: int, budget: int, mean_rows: int = MEAN_ROWS) -> list[int]:
@@ -235,7 +235,7 @@ def fingerprint_links(reps: DataFrame, budget: int = 4, bucket_rows: int = BUCKE
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     tasks_wanted = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks_wanted, "k").sortWithinPartitions("k").mapInArrow(run, "u long, v long")
+    return map_arrow(dealt.repartition(tasks_wanted, "k").sortWithinPartitions("k"), run, "u long, v long")
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, crc_bucket
+from .common import batches_of_texts, crc_bucket, map_arrow
 from .labelled import bounded_sample
 
 #: The bounded sample that stems and weights are learned from.
@@ -218,5 +218,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityGrammar, id_col: str = "doc_i
         for batch, texts in batches_of_texts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t.decode()) for t in texts], pa.float64())], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = map_arrow(rows, run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from .common import fresh_key, text_or_empty, work_dir
+from .common import fresh_key, map_arrow, text_or_empty, work_dir
 
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 100
@@ -129,7 +129,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     fs, base = _filesystem(folder)
     fs.create_dir(base, recursive=True)
     records = plan_records(pages, id_col, url_col, html_col)
-    files = [r.asDict() for r in records.mapInArrow(run, "file string, bytes long").collect()]
+    files = [r.asDict() for r in map_arrow(records, run, "file string, bytes long").collect()]
     with fs.open_output_stream(posixpath.join(base, "manifest.json")) as out:
         out.write(json.dumps(sorted(files, key=lambda f: f["file"])).encode())
     return posixpath.join(folder, "manifest.json")
