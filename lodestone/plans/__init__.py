@@ -1 +1,6 @@
-"""."""
+"""Registered queries over the driver's tables."""
+
+from . import search_queries  # noqa: F401
+from .registry import QUERIES
+
+__all__ = ["QUERIES"]
