@@ -6,22 +6,24 @@ hash of the id, to packers of some tens of thousands of pieces.  Token ids never
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, cut
+from .common import batches_of_texts, cut, map_arrow, text_slices
 
 CAPACITY = 2048
 #: Pieces that one packer takes on average: enough that its last open sequences hardly count.
 PACKER_PIECES = 50_000
 #: Words whose ids a worker keeps, in each of two generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _LENGTHS = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,23 +45,54 @@ class WordTokenizer:
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def _encode_words(self, words: list[str]) -> None:
+        """Encodes words in one text; each token belongs to the word in which it starts."""
+        coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(coded.ids, "<u4").tobytes()
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
+        last = 0
+        for word, end in zip(words, (4 * np.searchsorted(starts, ends)).tolist()):
+            self.young[word] = ids[last:end]
+            last = end
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of ``words`` into the younger generation."""
+        old = self.old
+        self.young.update([(w, old[w]) for w in words if w in old])
+        new = [w for w in words if w not in old]
+        for i in range(0, len(new), 5000):
+            self._encode_words(new[i : i + 5000])
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and where each text begins and the last ends."""
+        plain = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
+        if not pc.any(pc.match_substring_regex(plain, r"<\||[A-Z]\p{M}")).as_py():
+            # Case and marks after a letter make no difference to the tokens, but to how many words there are.  Not so
+            # for special tokens, which begin with <|, and for capitals that only compose with an accent once small.
+            plain = pc.replace_substring_regex(pc.ascii_lower(plain), "([a-z])([.,!%$&*#]+)", r"\1 \2")
+        split = pc.split_pattern(plain, " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        coded = list(map(self.young.get, distinct))
+        missing = [w for w, c in zip(distinct, coded) if c is None]
+        if missing:
+            self._learn(missing)
+            coded = list(map(self.young.get, distinct))
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {"": b""}, self.young
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        known, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(size) - size
+        number = words.indices.to_numpy(zero_copy_only=False)
+        count = size[number]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        at = np.repeat(first[number] - ends[:-1], count) + np.arange(ends[-1])
+        offsets = split.offsets.to_numpy()
+        return known[at], ends[offsets - offsets[0]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        young, old = self.young, self.old
-        new = []
-        for word in {w for words in split for w in words if w not in young}:
-            if word in old:
-                young[word] = old[word]
-            else:
-                new.append(word)
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                young[word] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([young[w] for w in words]) for words in split]
-        if len(young) > CACHE_WORDS:
-            self.young, self.old = {"": b""}, young
-        return out
+        ids, at = self.encode_array(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -79,18 +112,19 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer)
-        for batch, texts in batches_of_texts(batches):
-            ids = batch.column(0).to_pylist()
+        gc.disable()  # long lists of words, but no cycles
+        for batch in text_slices(batches):
+            ids, at = encoder.encode_array(pc.fill_null(batch.column(1), b"").cast(pa.large_string()))
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, within, coded in zip(ids, batch.column(2).to_pylist(), encoder.encode([t.decode() for t in texts])):
-                coded += end
+            for doc_id, within, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                coded = ids[a:b].tobytes() + end
                 for k in range(0, len(coded), 4 * capacity):
                     part = coded[k : k + 4 * capacity]
                     for column, value in zip(out, (within, doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 2 else pa.int64()) for i, x in enumerate(out)], ["window", *_NAMES])
 
-    return rows.mapInArrow(run, "window long, " + _LENGTHS)
+    return map_arrow(rows, run, "window long, " + _LENGTHS)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +200,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, packer_pieces: int = PACKER_
     group = F.pmod(F.xxhash64("window", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers))), F.lit((1 << 31) - 1))
     dealt = rows.select(group.alias("_group"), *_NAMES)
     tasks = max(packers, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(tasks, "_group").sortWithinPartitions("_group", *_NAMES).mapInArrow(lambda b: _pack_batches(b, capacity), _LENGTHS + ", sequence_id long, offset long")
+    return map_arrow(dealt.repartition(tasks, "_group").sortWithinPartitions("_group", *_NAMES), lambda b: _pack_batches(b, capacity), _LENGTHS + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, window: Column | None = None) -> DataFrame:
@@ -187,6 +221,6 @@ def sequences(docs: DataFrame, placements: DataFrame, tokenizer: str, id_col: st
             ids = [np.append(np.frombuffer(x, "<u4"), 0).astype(np.int32) for x in encoder.encode([t.decode() for t in texts])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    coded = rows.mapInArrow(run, "doc_id long, ids array<int>")
+    coded = map_arrow(rows, run, "doc_id long, ids array<int>")
     placed = placements.join(coded, "doc_id").select("sequence_id", "offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("ids"))
     return placed.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
