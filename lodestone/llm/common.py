@@ -63,7 +63,7 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
 
 
 #: Rows reach Python in Arrow batches of about so many bytes.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 8 << 20
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
@@ -72,17 +72,19 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def batches_of_texts(batches: Iterator[pa.RecordBatch], limit_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Arrow batches of (id, text), cut so that one holds about ``limit_bytes`` of text at most, with the texts as bytes.
-
-    The second column must be binary or string; nulls give empty texts.  A single longer text makes a batch of its own.
-    """
+def text_slices(batches: Iterator[pa.RecordBatch], limit_bytes: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that one holds about ``limit_bytes`` of the column's text at most; a longer text stands alone."""
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate([*sizes, limit_bytes + 1]):
             if i > start and held + size > limit_bytes:
-                yield batch.slice(start, i - start), [x or b"" for x in texts.slice(start, i - start).to_pylist()]
+                yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
+
+
+def batches_of_texts(batches: Iterator[pa.RecordBatch], limit_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """``text_slices`` of (id, text), with the texts as bytes; nulls give empty ones."""
+    for batch in text_slices(batches, limit_bytes):
+        yield batch, [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
