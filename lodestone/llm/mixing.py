@@ -20,7 +20,9 @@ from .common import fresh_key
 RESOLUTION = 1000
 BLOCK_DOCS = 8
 #: Rows whose order within a source is settled by one sort, on average.
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 250
+#: Ranges whose counts are added up by one task.
+COARSE = 4096
 #: A plan of up to so many slots is sent to all tasks (4 bytes a slot).
 BROADCAST_SLOTS = 2_000_000
 
@@ -84,8 +86,11 @@ def _ranked(docs: DataFrame, id_col: str, source_col: str, seed: int) -> DataFra
     bucket = F.pmod(F.shiftright(order, 16), F.lit(buckets))
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_source"), order.alias("_order"), bucket.alias("_bucket"), F.col(id_col).alias("_id"))
     sizes = docs.select(key.alias("_source"), bucket.alias("_bucket")).groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = sizes.withColumn("_coarse", F.expr(f"_bucket div {COARSE}"))
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    fine = sizes.select("_source", "_coarse", "_bucket", F.coalesce(F.sum("_n").over(earlier("_source", "_coarse", "_bucket")), F.lit(0)).alias("_fine"))
+    coarse = sizes.groupBy("_source", "_coarse").agg(F.sum("_n").alias("_n")).select("_source", "_coarse", F.coalesce(F.sum("_n").over(earlier("_source", "_coarse")), F.lit(0)).alias("_far"))
+    offsets = fine.join(coarse, ["_source", "_coarse"]).select("_source", "_bucket", (F.col("_fine") + F.col("_far")).alias("_before"))
     within = Window.partitionBy("_source", "_bucket").orderBy("_order", "_id")
     return rows.withColumn("_at", F.row_number().over(within) - 1).join(offsets, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_at"))
 
