@@ -52,9 +52,13 @@ def matches_terms(lexeme_array: Column, terms: list[str], query_type: str = "AND
 
 
 def word_ngrams(words: Column, n: int) -> Column:
-    """Runs of n words, joined by a space; empty where there are fewer."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    """Runs of n words, joined by a space; empty where there are fewer.
+
+    Shifted copies are zipped: a function over positions would evaluate ``words`` again at each of them.
+    """
+    many = F.greatest(F.size(words) - n + 1, F.lit(0))
+    shifted = [F.slice(words, j + 1, many) for j in range(n)]
+    return F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z[str(j)] for j in range(n)]))
 
 
 def all_ngrams(words: Column, longest: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import ensure_checkpoints
 from .graph import components
 
 
@@ -40,6 +41,7 @@ def term_clusters(terms: DataFrame, eps: float = 0.7, min_count: int = 2, common
     ``terms``: distinct term and count.  A term is a core if it and its neighbours occur min_count times or more; clusters
     are components of cores, and other terms join a core next to them.
     """
+    ensure_checkpoints(terms.sparkSession)
     pairs = close_pairs(tf_idf(terms.select("term"), "term", common), eps).checkpoint()
     both = pairs.union(pairs.select("v", "u"))
     n = terms.select(F.col("term").alias("v"), "count")

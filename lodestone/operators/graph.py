@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import ensure_checkpoints
 
 # Levels from the most special to the most general.
 LEVELS = ("SUBINSTANCE", "INSTANCE", "L1_CATEGORY", "L2_CATEGORY", "L3_CATEGORY", "L4_CATEGORY", "L5_CATEGORY")
 NO_LEVEL = {"NA": -1, "UNKNOWN": -2}
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder, so that a loop's plan doesn't grow."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def level_rank(level: Column) -> Column:
     return F.coalesce(*[F.when(level == v, F.lit(i)) for i, v in enumerate(LEVELS)], *[F.when(level == v, F.lit(i)) for v, i in NO_LEVEL.items()], F.lit(-2))
 
@@ -32,7 +39,7 @@ def ancestors(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int =
     start = up if seeds is None else up.join(seeds.select(F.col("node").alias("_c")).distinct(), "_c", "left_semi")
     frontier = start.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
     levels = [frontier.withColumn("depth", F.lit(1))]
-    for depth in range(2, max_depth + 1):
+    for depth in range(2, max_depth + 1):  # a few joins of one plan
         frontier = frontier.join(up, frontier["ancestor"] == up["_c"]).select("node", F.col("_p").alias("ancestor")).distinct()
         levels.append(frontier.withColumn("depth", F.lit(depth)))
     return reduce(DataFrame.union, levels).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
@@ -53,10 +60,15 @@ def without_cycles(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     Nodes without parents are peeled off round by round; edges between the nodes that remain in the end, after peeling
     childless ones as well, are on cycles or between them and go.
     """
-    rest = edges.select("head_id", "tail_id").distinct()
+    rest = _cut(edges.select("head_id", "tail_id").distinct())
+    before = -1
     for _ in range(max_rounds):
+        if (now := rest.count()) == before:
+            break
+        before = now
         rest = rest.join(rest.select(F.col("tail_id").alias("_t")).distinct(), F.col("head_id") == F.col("_t"), "left_semi")
         rest = rest.join(rest.select(F.col("head_id").alias("_h")).distinct(), F.col("tail_id") == F.col("_h"), "left_semi")
+        rest = _cut(rest)
     return edges.join(rest, ["head_id", "tail_id"], "left_anti")
 
 
@@ -71,13 +83,17 @@ def assigned_levels(edges: DataFrame, counts: DataFrame, thresholds: list[float]
     share = counts.crossJoin(F.broadcast(total)).select(F.col("node").alias("_n"), (F.col("count") / F.col("_all")).alias("_share"))  # one row
     nodes = counts.select("node")
     leaves = nodes.join(edges.select(F.col("head_id").alias("node")), "node", "left_anti")
-    frontier = leaves.select("node", F.lit(1).alias("rank"))
+    steps = _cut(up.join(share, F.col("_p") == F.col("_n")).select("_c", "_p", "_share"))
+    frontier = _cut(leaves.select("node", F.lit(1).alias("rank")))
     found = [frontier]
     limit = lambda rank: F.coalesce(*[F.when(rank == i, F.lit(t)) for i, t in enumerate(thresholds, 2)], F.lit(2.0))
     for _ in range(max_rounds):
-        stepped = frontier.join(up, frontier["node"] == up["_c"]).join(share, F.col("_p") == F.col("_n"))
+        stepped = frontier.join(steps, F.col("node") == F.col("_c"))
         rank = F.when(F.col("_share") > limit(F.col("rank") + 1), F.col("rank") + 1).otherwise(F.col("rank"))
         frontier = stepped.select(F.col("_p").alias("node"), F.least(rank, F.lit(len(LEVELS) - 1)).alias("rank")).groupBy("node").agg(F.max("rank").alias("rank"))
+        frontier = _cut(frontier)
+        if frontier.isEmpty():
+            break
         found.append(frontier)
     best = reduce(DataFrame.union, found).groupBy("node").agg(F.max("rank").alias("rank"))
     return best.select("node", F.element_at(F.array(*[F.lit(v) for v in LEVELS]), F.col("rank") + 1).alias("level"))
@@ -136,12 +152,13 @@ def shared_synonyms(synonyms: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(node, component) by spreading the least id, for graphs of small diameter such as similarity clusters."""
-    both = edges.select("u", "v").union(edges.select("v", "u")).distinct().checkpoint()
+    both = _cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
     labels = both.select(F.col("u").alias("node"), F.least("u", "v").alias("l")).groupBy("node").agg(F.min("l").alias("component"))
     before = None
     for _ in range(max_rounds):
         seen = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("_c"))
-        labels = labels.join(seen, F.col("node") == F.col("u")).select("node", F.least("component", "_c").alias("component")).checkpoint()
+        labels = labels.join(seen, F.col("node") == F.col("u")).select("node", F.least("component", "_c").alias("component"))
+        labels = _cut(labels)
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels

@@ -38,7 +38,11 @@ def dictionary_entities(docs: DataFrame, dictionary: DataFrame, id_col: str = "d
     An equi-join on n-grams; a span inside a longer one that was found goes.
     """
     words = text.tokens(F.col(text_col))
-    spans = F.flatten(F.array(*[F.transform(text.word_ngrams(words, n), lambda g, i, n=n: F.struct((i + 1).alias("start"), F.lit(n).alias("length"), g.alias("term"))) for n in range(1, longest + 1)]))
+
+    def of(n: int) -> Column:
+        return F.transform(text.word_ngrams(words, n), lambda g, i: F.struct((i + 1).alias("start"), F.lit(n).alias("length"), g.alias("term")))
+
+    spans = F.flatten(F.array(*map(of, range(1, longest + 1))))
     found = docs.select(F.col(id_col).alias("doc_id"), F.explode(spans).alias("_s")).select("doc_id", "_s.*").join(dictionary.select(F.lower("term").alias("term")).distinct(), "term")
     return without_overlaps(found)
 

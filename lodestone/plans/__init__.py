@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from . import relational_queries, search_queries  # noqa: F401
+from . import graph_queries, relational_queries, search_queries  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]

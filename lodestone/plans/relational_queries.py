@@ -174,13 +174,13 @@ def delete_by_predicate(t: Tables) -> DataFrame:
 
 @query(
     "AGG-03 AGG-04 AGG-05 AGG-07 AGG-13 AGG-14",
-    """SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS states, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 4) AS mean, sum(CASE WHEN o_orderstatus = 'F' THEN 200 ELSE 30 END)::BIGINT AS traction,
+    """SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS states, min(o_totalprice) AS low, max(o_totalprice) AS high, sum(CAST(o_totalprice AS DECIMAL(20, 2)))::DOUBLE / count(*) AS mean, sum(CASE WHEN o_orderstatus = 'F' THEN 200 ELSE 30 END)::BIGINT AS traction,
       arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderpriority, o_orderkey)) AS best_order FROM orders GROUP BY 1""",
     views=False,
 )
 def mixed_aggregates(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(
-        F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("states"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.round(F.avg("o_totalprice"), 4).alias("mean"),
+        F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("states"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), (F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double") / F.count(F.lit(1))).alias("mean"),
         F.sum(F.when(F.col("o_orderstatus") == "F", 200).otherwise(30)).alias("traction"),
         F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"), F.max_by("o_orderkey", F.struct("o_orderpriority", "o_orderkey")).alias("best_order"),
     )

@@ -1 +1 @@
-"""."""
+"""Tables and files: reading, writing, caching."""

@@ -1 +1 @@
-"""."""
+"""Structured Streaming over the events table; beyond the batch operators."""
