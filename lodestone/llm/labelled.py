@@ -14,6 +14,10 @@ def bounded_sample(docs: DataFrame, rows: DataFrame, label: Column, keep: Column
     """
     chosen = rows.filter(keep & label.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), label.alias("_label"))
     order = F.xxhash64("_id", F.lit("sample"))
+    # The least hashes are wanted: few rows in twice as many as needed are sorted, and sent to the driver, per task.
+    n = chosen.count()
+    if n > 4 * max_docs:
+        chosen = chosen.filter(order < int(-(1 << 63) + (1 << 64) * (2 * max_docs / n)))
     ids = docs.sparkSession.createDataFrame(chosen.orderBy(order, "_id").limit(max_docs).collect(), chosen.schema).dropDuplicates(["_id"])
     text = F.col(text_col)
     start = F.pmod(order, F.greatest(F.length(text) - max_chars, F.lit(0)) + 1).cast("int") + 1
