@@ -34,9 +34,12 @@ def counts(rows: DataFrame, x: str, y: str | None = None, *, distinct: str | Non
 
 
 def gap_filled(report: DataFrame) -> DataFrame:
-    """Every x with every y that occurs, missing counts as 0.  Both axes are group keys of the report, not of its rows."""
-    xs, ys = report.select("x").distinct(), report.select("y").distinct()
-    grid = xs.withColumn("_all", F.lit(1)).join(ys.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    """Every x with every y that occurs, missing counts as 0.
+
+    The y axis is one value, a scalar subquery, that each x explodes.
+    """
+    ys = report.agg(F.array_sort(F.collect_set("y"))).scalar()
+    grid = report.select("x").distinct().select("x", F.explode(ys).alias("y"))
     return grid.join(report, ["x", "y"], "left").select("x", "y", F.coalesce("count", F.lit(0)).alias("count"))
 
 

@@ -97,7 +97,7 @@ def similar_components(t: Tables) -> DataFrame:
     return graph.components(pairs.select(F.col("vec_id").alias("u"), "v"))
 
 
-@query("GRA-12", "SELECT DISTINCT r_name AS head_id, n_name AS tail_id FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT n_name, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey", views=False)
+@query("GRA-12", "SELECT DISTINCT r_name AS head_id, n_name AS tail_id FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT n_name, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey", views=False)
 def lineage_edges(t: Tables) -> DataFrame:
     return graph.lineage_edges(t.owners.select(F.array("category_rollup", "instance_rollup", "name").alias("path")))
 
