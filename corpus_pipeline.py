@@ -39,9 +39,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: the pieces of all documents and their places in sequences of 2048 tokens.
 
-    Each file holds a run of the mixed order and is packed for itself, so that sequences keep to the mix.
+    Each partition of the scan holds runs of the mixed order and is packed for itself, so that sequences keep to the mix.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=F.input_file_name())
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=F.spark_partition_id())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -16,6 +16,18 @@ PREFIX_CHARS = 128
 BROADCAST_GROUPS = 500_000
 
 
+def _length() -> Column:
+    return F.octet_length("_t").alias("_len")
+
+
+def _prefix() -> Column:
+    return F.xxhash64(F.substring("_t", 1, PREFIX_CHARS)).alias("_pre")
+
+
+def _digest() -> Column:
+    return F.sha2(F.col("_t").cast("binary"), 256)
+
+
 def _members(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     """Rows whose keys are in ``groups``; a hot key can be split."""
     right = groups.select(fresh_key(*map(F.col, keys)).alias("_k"))
@@ -26,27 +38,24 @@ def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, hash_at_scan: bool = False, normalise: Column | None = None) -> DataFrame:
+def _surviving_groups(base: DataFrame) -> DataFrame:
+    """(length, prefix hash) of two or more texts; texts of a length of their own aren't even hashed by prefix."""
+    by_length = _repeated(base.select(_length()), "_len")
+    return _repeated(_members(base.select(_length(), _prefix()), by_length, "_len"), "_len", "_pre")
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, groups: DataFrame | None = None) -> DataFrame:
     """Groups of two or more documents with equal text: (sha256, keep_id, group_size).
 
     keep_id is the largest id.  Null text counts as empty; rows that agree in id and text are one document; an
-    id that is null loses to any other.  ``hash_at_scan`` hashes every text in the scan, for callers that need
-    all digests; otherwise whole texts are hashed only for rows that survive the prefix level, as long as the
-    surviving groups are few enough to be sent to the scan (BROADCAST_GROUPS).
+    id that is null loses to any other.  ``groups``: the surviving (length, prefix) groups, few enough to be sent to the
+    scan, so that whole texts are hashed for their rows alone; without it every text is hashed in the scan.
     """
-    text = text_or_empty(text_col) if normalise is None else normalise
-    base = docs.select(F.col(id_col).alias("_id"), text.alias("_t"))
-    length, prefix = F.octet_length("_t").alias("_len"), F.xxhash64(F.substring("_t", 1, PREFIX_CHARS)).alias("_pre")
-    by_length = _repeated(base.select(length), "_len")
-    by_prefix = _repeated(_members(base.select(length, prefix), by_length, "_len"), "_len", "_pre")
-    digest = F.sha2(F.col("_t").cast("binary"), 256)
-    if not hash_at_scan:
-        by_prefix = cut(by_prefix)
-        hash_at_scan = by_prefix.count() > BROADCAST_GROUPS
-    if hash_at_scan:
-        survivors = _members(base.select("_id", length, prefix, digest.alias("_sha")), by_prefix, "_len", "_pre")
+    base = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
+    if groups is None:
+        survivors = _members(base.select("_id", _length(), _prefix(), _digest().alias("_sha")), _surviving_groups(base), "_len", "_pre")
     else:
-        survivors = base.select("_id", "_t", length, prefix).join(F.broadcast(by_prefix), ["_len", "_pre"], "left_semi").select("_id", "_len", digest.alias("_sha"))
+        survivors = base.select("_id", "_t", _length(), _prefix()).join(F.broadcast(groups), ["_len", "_pre"], "left_semi").select("_id", "_len", _digest().alias("_sha"))
     one_each = survivors.groupBy("_sha", "_len", "_id").agg(F.lit(1).alias("_one"))
     return one_each.groupBy("_sha", "_len").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1").select(F.col("_sha").alias("sha256"), "keep_id", "group_size")
 
@@ -57,7 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Empty table: no rows.  Documents with a null id are kept only if all of their group have a null id; rows
     that agree in id and text are one document and one row.  Other columns of ``docs`` are not looked at.
     """
-    groups = duplicate_groups(docs, id_col, text_col, hash_at_scan=True)
+    groups = duplicate_groups(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("text_sha256")).distinct()
     found = groups.select(fresh_key(F.col("sha256")).alias("_k"), F.col("sha256").alias("_sha"), "keep_id", "group_size")
     joined = rows.withColumn("_k", fresh_key(F.col("text_sha256"))).join(found, "_k", "left").withColumn("_dup", F.col("_sha") == F.col("text_sha256"))
@@ -74,12 +83,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text a row with a larger id has too; columns unchanged.
 
-    Only rows of duplicate groups are compared by digest: the groups that survive are joined on a key of their
-    digest.  Repeated rows (equal id and text) are not told apart and all stay.
+    Whole texts are hashed for rows of surviving (length, prefix) groups alone, as long as there are BROADCAST_GROUPS of
+    these or fewer, and for all rows beyond.  Repeated rows (equal id and text) are not told apart and all stay.
     """
-    groups = duplicate_groups(docs, id_col, text_col, hash_at_scan=True)
-    losers = groups.select(fresh_key(F.col("sha256")).alias("_lk"), F.col("sha256").alias("_lsha"), F.col("keep_id").alias("_lkeep"))
     names = docs.columns
-    keyed = docs.select(F.struct("*").alias("_row"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("_sha"), F.col(id_col).alias("_id")).withColumn("_k", fresh_key(F.col("_sha")))
+    base = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
+    groups = cut(_surviving_groups(base))
+    few = groups.count() <= BROADCAST_GROUPS
+    found = duplicate_groups(docs, id_col, text_col, groups=groups if few else None)
+    losers = found.select(fresh_key(F.col("sha256")).alias("_lk"), F.col("sha256").alias("_lsha"), F.col("keep_id").alias("_lkeep"))
+    if few:
+        seen = base.withColumns({"_len": _length(), "_pre": _prefix()}).join(F.broadcast(groups.withColumn("_hit", F.lit(True))), ["_len", "_pre"], "left")
+        keyed = seen.withColumn("_sha", F.when(F.col("_hit"), _digest()))
+    else:
+        keyed = base.withColumn("_sha", _digest())
+    # Rows without a digest have no twin; their ids spread them over the join's partitions.
+    keyed = keyed.select("_row", "_id", "_sha", F.when(F.col("_sha").isNotNull(), fresh_key(F.col("_sha"))).otherwise(F.xxhash64("_id")).alias("_k"))
     worse = (F.col("_k") == F.col("_lk")) & (F.col("_sha") == F.col("_lsha")) & ~F.col("_id").eqNullSafe(F.col("_lkeep"))
     return keyed.join(losers, worse, "left_anti").select(*[F.col("_row")[n].alias(n) for n in names])

@@ -183,7 +183,7 @@ class ToxicityGrammar:
 
     def fit(self, texts: list[str], toxic: list[int], rounds: int = 30, ridge: float = 0.05) -> ToxicityGrammar:
         """Logistic regression on the events, by Newton's method."""
-        x = np.hstack((np.array([self.events(t) for t in texts]).reshape(len(texts), -1), np.ones((len(texts), 1))))
+        x = np.hstack((np.array([self.events(t) for t in texts]).reshape(len(texts), len(EVENTS)), np.ones((len(texts), 1))))
         y = np.array(toxic, float)
         if len(set(toxic)) < 2:
             share = (y.sum() + 0.5) / (len(y) + 1)
