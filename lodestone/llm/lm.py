@@ -434,7 +434,7 @@ def _written(runs: DataFrame, shards: int, write, schema: str) -> DataFrame:
         if now is not None:
             yield done()
 
-    return map_arrow(runs.repartition(shards, "shard").sortWithinPartitions("shard"), run, schema)
+    return map_arrow(runs.repartition(max(2 * shards, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("shard"), run, schema)
 
 
 def _attempt(folder: str, name: str) -> str:
