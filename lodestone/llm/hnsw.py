@@ -20,7 +20,7 @@ from .common import cut, map_arrow
 #: Distinct vectors per shard, on average.
 SHARD_ROWS = 4096
 #: Links per vector above the ground layer (twice as many on it), candidates when building, beam when searching.
-LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 96, 96
+LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 96, 128
 #: Candidates that a search expands at once, and queries that go to a shard together.
 WIDTH, QUERY_BLOCK = 4, 256
 _MERGE_SALTS = 16
