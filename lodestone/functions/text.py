@@ -51,18 +51,23 @@ def matches_terms(lexeme_array: Column, terms: list[str], query_type: str = "AND
     return F.lit(False) if out is None else out
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` refers to it, inside functions over arrays as well."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def word_ngrams(words: Column, n: int) -> Column:
-    """Runs of n words, joined by a space; empty where there are fewer.
+    """Runs of n words, joined by a space; empty where there are fewer."""
+
+    def runs(w: Column) -> Column:
+        many = F.greatest(F.size(w) - n + 1, F.lit(0))
+        return F.transform(F.arrays_zip(*[F.slice(w, j + 1, many) for j in range(n)]), lambda z: F.concat_ws(" ", *[z[str(j)] for j in range(n)]))
 
-    Shifted copies are zipped: a function over positions would evaluate ``words`` again at each of them.
-    """
-    many = F.greatest(F.size(words) - n + 1, F.lit(0))
-    shifted = [F.slice(words, j + 1, many) for j in range(n)]
-    return F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z[str(j)] for j in range(n)]))
+    return let(words, runs)
 
 
 def all_ngrams(words: Column, longest: int) -> Column:
-    return F.flatten(F.array(*[word_ngrams(words, n) for n in range(1, longest + 1)]))
+    return let(words, lambda w: F.flatten(F.array(*[word_ngrams(w, n) for n in range(1, longest + 1)])))
 
 
 def trigrams(text: Column) -> Column:

@@ -39,10 +39,10 @@ def dictionary_entities(docs: DataFrame, dictionary: DataFrame, id_col: str = "d
     """
     words = text.tokens(F.col(text_col))
 
-    def of(n: int) -> Column:
-        return F.transform(text.word_ngrams(words, n), lambda g, i: F.struct((i + 1).alias("start"), F.lit(n).alias("length"), g.alias("term")))
+    def of(w: Column, n: int) -> Column:
+        return F.transform(text.word_ngrams(w, n), lambda g, i: F.struct((i + 1).alias("start"), F.lit(n).alias("length"), g.alias("term")))
 
-    spans = F.flatten(F.array(*map(of, range(1, longest + 1))))
+    spans = text.let(words, lambda w: F.flatten(F.array(*[of(w, n) for n in range(1, longest + 1)])))
     found = docs.select(F.col(id_col).alias("doc_id"), F.explode(spans).alias("_s")).select("doc_id", "_s.*").join(dictionary.select(F.lower("term").alias("term")).distinct(), "term")
     return without_overlaps(found)
 
