@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Fixed word list.
 STOP_WORDS = "a an and are as at be by for from in into is it its of on or that the their this to was were with".split()
 #: Ending, replacement; applied in order to words of four letters or more.
-STEM_RULES = (("(ies)$", "y"), ("(sses)$", "ss"), ("([^su])s$", "$1"), ("(ing|ed)$", ""))
+STEM_RULES = (("(ies)$", "y"), ("(sses)$", "ss"), ("([^su])s$", "$1"), ("^(.{3,})(?:ing|ed)$", "$1"))
 
 
 def tokens(text: Column) -> Column:
