@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import posixpath
 import tempfile
 import uuid
@@ -25,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
         current = spark.sparkContext.getCheckpointDir()
@@ -67,9 +70,23 @@ ARROW_BYTES = 8 << 20
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow over batches of about ARROW_BYTES, so that a worker's memory doesn't follow the length of texts."""
+    """mapInArrow over batches of about ARROW_BYTES, so that a worker's memory doesn't follow the length of texts.
+
+    Workers serve many tasks; what a task has freed goes back to the system at its end.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(task, schema)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit_bytes: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:

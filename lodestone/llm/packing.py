@@ -23,7 +23,7 @@ CAPACITY = 2048
 #: Pieces that one packer takes on average: enough that its last open sequences hardly count.
 PACKER_PIECES = 50_000
 #: Words whose ids a worker keeps, in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _LENGTHS = "doc_id long, piece int, start long, length long, ids_crc32 long"

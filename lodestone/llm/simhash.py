@@ -27,7 +27,7 @@ MEAN_ROWS = 128
 #: A trie's leaves hold up to so many fingerprints.
 LEAF = 8
 #: Node pairs that a walk expands at once.
-FRONTIER = 1 << 17
+FRONTIER = 1 << 14
 #: Bytes of shingle bits that are counted at once.
 _COUNT_ROWS = 1 << 15
 
