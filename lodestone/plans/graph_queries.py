@@ -222,7 +222,7 @@ def composite_concepts(t: Tables) -> DataFrame:
 def dictionary_entities(t: Tables) -> DataFrame:
     """Dictionary terms in whole texts, the longest at each place; a test holds it against a scan."""
     terms = t.benchmark.select(F.array_join(F.slice(text.tokens(F.col("text")), 1, 3), " ").alias("term")).filter("term <> ''")
-    return linking.dictionary_entities(t.documents, terms)
+    return linking.dictionary_entities(tables.spread(t.documents), terms)
 
 
 @query("NLP-21 NLP-10 NLP-11", r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter([regexp_replace(p_brand || '-x', '-', '', 'g'), regexp_replace(p_brand || '-x', '-', ' ', 'g')], lambda f: f <> ''))), ',') AS forms, regexp_replace('tests of ' || p_name, '^([\w-]+) of ([\w -]+)$', '\2 \1') AS swapped FROM part", views=False)

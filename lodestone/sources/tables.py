@@ -24,6 +24,15 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return posixpath.join(ensure_checkpoints(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as read, dealt out again if it came in fewer partitions than there are cores, as one small file does.
+
+    For work that costs much more than a shuffle of the rows; tables of many files keep their partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 class TableStore:
     """Tables as Parquet folders.  A table is replaced by writing its next version and then forgetting the one before."""
 
