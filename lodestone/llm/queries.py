@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import exact_dedup, hnsw, langid, lm, mixing, packing, quality, simhash, toxicity, warc
 from .common import crc_bucket
 
@@ -17,6 +18,10 @@ def _public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_order(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -26,11 +31,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), _public_tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(_documents(spark, sf_dir), _public_tokenizer("word_bpe_49k.json"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicate_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash.near_duplicate_components(_documents(spark, sf_dir))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +43,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     return quality.score_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     return langid.predict_languages(docs, langid.fit_languages(docs))
 
 
@@ -52,12 +57,12 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     held_out = crc_bucket(F.col("doc_id"), 7) == 2
     return lm.score_texts(docs, lm.fit(docs, F.coalesce(~held_out, F.lit(True))), held_out)
 
