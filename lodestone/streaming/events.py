@@ -14,10 +14,13 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """(day, event_type, count, total) per calendar day; events later than ``late`` behind the newest are dropped."""
-    day = F.window(F.col("ts").cast("timestamp"), "1 day")["start"].cast("timestamp_ntz")
-    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return marked.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("count"), F.round(F.sum(F.col("value").cast("decimal(20,4)")).cast("double"), 4).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "count", "total") if events.isStreaming else events.groupBy(day.alias("day"), "event_type").agg(F.count(F.lit(1)).alias("count"), F.round(F.sum(F.col("value").cast("decimal(20,4)")).cast("double"), 4).alias("total"))
+    """(day, event_type, count, total) per calendar day; a stream drops events later than ``late`` behind the newest."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        timed = timed.withWatermark("ts", late)
+    total = F.round(F.sum(F.col("value").cast("decimal(20,4)")).cast("double"), 4)
+    days = timed.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("count"), total.alias("total"))
+    return days.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "count", "total")
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,8 @@ def test_streams_count_every_event_once(spark, sf_dir):
 def test_sessions(spark):
     rows = spark.sql("SELECT 1L AS user_id, timestamp_ntz'2024-01-01 00:00:00' AS ts UNION ALL SELECT 1L, timestamp_ntz'2024-01-01 00:10:00' UNION ALL SELECT 1L, timestamp_ntz'2024-01-01 02:00:00'")
     assert sorted(r["count"] for r in events.sessions(rows).collect()) == [1, 2]
+
+
+def test_daily_counts_are_the_same_in_batch_and_stream(spark, sf_dir):
+    batch = events.daily(spark.read.parquet(f"{sf_dir}/events.parquet")).collect()
+    assert sorted(map(tuple, batch)) == sorted(map(tuple, events.daily_counts(spark, sf_dir).select("day", "event_type", "count", "total").collect()))
