@@ -28,7 +28,9 @@ MAX_DOCS, MAX_CHARS = 8000, 16_000
 #: A stem: this long; in so many toxic documents and so large a share of them; in at most this share of clean ones, as against these.
 STEM_CHARS, STEM_DOCS, STEM_SHARE, STEM_CLEAN = range(4, 15), 3, 0.01, 0.15
 #: And so many standard deviations more toxic documents than chance gives.
-STEM_SURPRISE = 4.5
+STEM_SURPRISE = 6.5
+#: The share of toxic documents for which a longer stem is preferred.
+STEM_KEPT = 0.8
 THRESHOLD = 0.5
 
 # Fixed word lists, by class.
@@ -116,7 +118,7 @@ def grammar() -> Transducer:
 def learn_stems(texts: list[str], toxic: list[int]) -> dict[str, float]:
     """Word beginnings that toxic documents have and clean ones don't, with their log odds (at most 6).
 
-    Of beginnings with the same documents the longest is taken, and none that another chosen one begins.  Documents
+    A beginning gives way to a longer one that keeps most of its toxic documents, and to a shorter one that was chosen.  Documents
     that start alike, as copies do, count once.
     """
     bad, good = Counter(), Counter()
@@ -131,7 +133,7 @@ def learn_stems(texts: list[str], toxic: list[int]) -> dict[str, float]:
     longer = defaultdict(list)
     for s in likely:
         longer[s[:-1]].append(s)
-    closed = [s for s in likely if not any((bad[x], good[x]) == (bad[s], good[s]) for x in longer[s])]
+    closed = [s for s in likely if not any(bad[x] >= STEM_KEPT * bad[s] for x in longer[s])]
     chosen: dict[str, float] = {}
     for s in sorted(closed, key=lambda s: (-bad[s], len(s), s)):
         if not any(s[:k] in chosen for k in range(STEM_CHARS[0], len(s))):
@@ -144,7 +146,7 @@ class ToxicityGrammar:
         self.stems = stems
         self.words = {w: kind for kind, words in WORDS.items() for w in words.split()}
         self.machine = grammar()
-        self.beta = np.zeros(len(EVENTS) + 1)
+        self.beta = np.zeros(len(EVENTS) + 2)
         self._matcher = None
 
     def __getstate__(self) -> dict:
@@ -163,8 +165,11 @@ class ToxicityGrammar:
         return max((self.stems.get(word[:k], 0.0) for k in STEM_CHARS if k <= len(word)), default=0.0)
 
     def events(self, text: str) -> np.ndarray:
-        """For each kind of marked clause, the log of one plus the weights of its insults and threats."""
-        out = np.zeros(len(EVENTS))
+        """For each kind of marked clause, the log of one plus the weights of its insults and threats; last, the same of all per 100 words.
+
+        Long clean texts meet a stem now and then by chance, which their density tells.
+        """
+        out = np.zeros(len(EVENTS) + 1)
         text = text.lower()
         if not self._seen(text):
             return out
@@ -179,11 +184,12 @@ class ToxicityGrammar:
         for (symbol, weight), s in zip(self.machine.run(symbols), strength):
             if symbol in at:
                 out[at[symbol]] += weight * s
+        out[-1] = 100 * out.sum() / max(len(symbols), 100)
         return np.log1p(out)
 
     def fit(self, texts: list[str], toxic: list[int], rounds: int = 30, ridge: float = 0.05) -> ToxicityGrammar:
         """Logistic regression on the events, by Newton's method."""
-        x = np.hstack((np.array([self.events(t) for t in texts]).reshape(len(texts), len(EVENTS)), np.ones((len(texts), 1))))
+        x = np.hstack((np.array([self.events(t) for t in texts]).reshape(len(texts), len(EVENTS) + 1), np.ones((len(texts), 1))))
         y = np.array(toxic, float)
         if len(set(toxic)) < 2:
             share = (y.sum() + 0.5) / (len(y) + 1)
