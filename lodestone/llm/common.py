@@ -6,9 +6,11 @@ import contextlib
 import ctypes
 import gc
 import posixpath
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,6 +67,21 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context: their workers need not have it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir():
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="lodestone-")) / package.name), "zip", package.parent, package.name)
+        context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 #: Rows reach Python in Arrow batches of about so many bytes.
 ARROW_BYTES = 8 << 20
 
@@ -74,6 +91,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
 
     Workers serve many tasks; what a task has freed goes back to the system at its end.
     """
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from .common import fresh_key, map_arrow, text_or_empty, work_dir
+from .common import fresh_key, map_arrow, ship, text_or_empty, work_dir
 
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 100
@@ -311,6 +311,7 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, content: str = "payload") -> DataFrame:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").option("path", path).option("content", content).load()
