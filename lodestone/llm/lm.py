@@ -434,11 +434,7 @@ def _written(runs: DataFrame, shards: int, write, schema: str) -> DataFrame:
         if now is not None:
             yield done()
 
-    return map_arrow(runs.repartition(max(2 * shards, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("shard"), run, schema)
-
-
-def _attempt(folder: str, name: str) -> str:
-    return posixpath.join(folder, f"{name}-{TaskContext.get().taskAttemptId()}.ef")
+    return map_arrow(runs.repartitionById(shards, "shard").sortWithinPartitions("shard"), run, schema)
 
 
 def _save(folder: str, name: str, coded: dict[str, np.ndarray], meta: dict, arrays: dict[str, np.ndarray]) -> str:
