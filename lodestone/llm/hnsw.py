@@ -262,8 +262,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataF
         if held:
             yield built()
 
-    tasks = max(shards, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    made = map_arrow(dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "vector"), make, "shard int, graph binary, ids binary")
+    made = map_arrow(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "vector"), make, "shard int, graph binary, ids binary")
     return cut(made), shards
 
 
@@ -317,8 +316,7 @@ def nearest(table: DataFrame, query_modulus: int = 20, k: int = 20, id_col: str
                     out[2].append(score[best].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
 
-    tasks = max(shards, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = map_arrow(both.repartition(tasks, "shard").sortWithinPartitions("shard", "kind"), ask, "query_id long, ids array<long>, scores array<double>")
+    found = map_arrow(both.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind"), ask, "query_id long, ids array<long>, scores array<double>")
     pairs = found.select("query_id", F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("far"), x["ids"].alias("vec_id"))).alias("best"))
     merged = lambda df, *keys: df.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     part = merged(pairs.withColumn("s", F.pmod(F.xxhash64("best"), F.lit(_MERGE_SALTS))), "query_id", "s")
