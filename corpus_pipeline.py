@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, mixing, packing, quality, simhash
+from lodestone.llm import exact_dedup, mixing, packing, quality, similar
 from lodestone.llm.common import work_dir
 
 
@@ -27,8 +27,11 @@ def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4, on shingles of five words: of each group the document with the least id stays."""
-    return simhash.drop_near_duplicates(docs, words=5)
+    """Documents of five-word-shingle similarity 0.8 or more: of each group the document with the least id stays.
+
+    Operator 4's fingerprints differ by 10 bits on average at that similarity, so whole sets of shingles are joined instead.
+    """
+    return similar.drop_similar(docs, words=5)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

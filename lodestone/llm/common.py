@@ -62,6 +62,34 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def sent(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, a few numbers a row and already written, to be sent to all tasks where it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of the whole row, which tells rows of one id apart; maps can't be hashed and are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
+def without_repeats(base: DataFrame, placed: DataFrame, order: Column, names: list[str]) -> DataFrame:
+    """The row of each group that is least by ``order``, with columns ``names``; rows in no group stay.
+
+    ``base`` has _row, _id and _mark, ``placed`` (_id, _mark, group _g) of the rows in groups, once per row.  Rows that agree in
+    all of these are one row.
+    """
+    each = placed.groupBy("_id", "_mark", "_g").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_o"))
+    best = each.groupBy("_g").agg(F.min("_o").alias("_best")).select(fresh_key(F.col("_g")).alias("_k"), "_best")
+    told = each.withColumn("_k", fresh_key(F.col("_g"))).join(best, "_k").withColumn("_keep", F.col("_o") == F.col("_best"))
+    marked = cut(told.filter("NOT _keep OR _n > 1").select(fresh_key(F.col("_id"), F.col("_mark")).alias("_k"), "_keep"))
+    keyed = base.select("_row", fresh_key(F.col("_id"), F.col("_mark")).alias("_k"))
+    out = keyed.join(sent(marked), "_k", "left_anti").select("_row")
+    repeated = marked.filter("_keep")
+    if not repeated.isEmpty():
+        out = out.union(keyed.join(repeated, "_k", "left_semi").groupBy("_k").agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select(*[F.col("_row")[n].alias(n) for n in names])
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo ``modulus``; a null id has bucket null."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
