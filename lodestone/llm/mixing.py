@@ -1,23 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-A source's documents are put into a reproducible random order and cut into blocks.  In a schedule of A slots, in
-which source i has c_i, its k-th block is released at floor((k-1)A/c_i) and due at ceil(kA/c_i); the earliest
-deadline goes first, so at every slot each source is within less than one block of its share.  A schedule depends on the
-weights alone and repeats, so the slot of any block is arithmetic: no row waits for another.
+A source's documents are put into a reproducible random order and cut into blocks.  The k-th block of a source of
+weight w is released at floor((k-1)/w) and due at ceil(k/w); the earliest deadline goes first, so at every slot each
+source is within less than one block of its share, until a source ends and the others go on with their weights.  The
+slots follow from weights and counts alone and are worked out beforehand: no row waits for another.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_key
 
-#: Slots that the weights are rounded to.
-RESOLUTION = 1000
+#: A phase of up to so many slots has exact weights; a longer one repeats a schedule of so many.
+RESOLUTION = 500_000
 BLOCK_DOCS = 8
 #: Rows whose order within a source is settled by one sort, on average.
 BUCKET_ROWS = 250
@@ -29,47 +31,80 @@ BROADCAST_SLOTS = 2_000_000
 _PLAN = "array<struct<source:string,first:bigint,blocks:bigint,share:bigint,size:bigint,base:bigint,slots:array<int>>>"
 
 
-def pfair_slots(shares: list[int]) -> list[list[int]]:
-    """For each source, the slots of its blocks in one schedule of sum(shares) slots, by earliest deadline first."""
-    size = sum(shares)
-    released = [(0, i, 1) for i, c in enumerate(shares) if c]
+def _edf(weights: list[int], blocks: list[int]) -> tuple[list[list[int]], int]:
+    """For each source the slots of its blocks by earliest deadline first, until one has placed all of its; and the slots' number."""
+    total = sum(weights)
+    released = [(0, i, 1) for i, n in enumerate(blocks) if n]
     heapq.heapify(released)
     due: list[tuple[int, int, int]] = []
-    slots: list[list[int]] = [[] for _ in shares]
-    for t in range(size):
+    slots: list[list[int]] = [[] for _ in blocks]
+    for t in range(sum(blocks)):
         while released and released[0][0] <= t:
             _, i, k = heapq.heappop(released)
-            heapq.heappush(due, (-(-k * size // shares[i]), i, k))
+            heapq.heappush(due, (-(-k * total // weights[i]), i, k))
         _, i, k = heapq.heappop(due)
         slots[i].append(t)
-        if k < shares[i]:
-            heapq.heappush(released, (k * size // shares[i], i, k + 1))
-    return slots
+        if k == blocks[i]:
+            return slots, t + 1
+        heapq.heappush(released, (k * total // weights[i], i, k + 1))
+    return slots, sum(blocks)
+
+
+def pfair_slots(shares: list[int]) -> list[list[int]]:
+    """For each source, the slots of its blocks in one schedule of sum(shares) slots, by earliest deadline first."""
+    if not any(shares):
+        return [[] for _ in shares]
+    size = sum(shares)
+    slots = _edf([c for c in shares if c], [c + 1 for c in shares if c])[0]
+    found = iter(slots)
+    return [[t for t in next(found) if t < size] if c else [] for c in shares]
+
+
+def _shares(weights: list[int], size: int) -> list[int]:
+    """Whole numbers of sum ``size`` next to the weights, by largest remainders."""
+    total = sum(weights)
+    shares = [w * size // total for w in weights]
+    for i in sorted(range(len(weights)), key=lambda i: (-(weights[i] * size % total), i))[: size - sum(shares)]:
+        shares[i] += 1
+    return shares
 
 
 def plan(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> list[dict]:
     """Which blocks of which source go to which slots, until every source has ended.
 
-    The schedule of the sources that have blocks left is repeated while each has enough of them; a source that runs
-    short gets one last schedule with the rest of its blocks, and the others go on with their weights.
+    With w the exact weight among the sources that have blocks left, a source's k-th block is released at floor((k-1)/w) and due
+    at ceil(k/w); a new phase begins only where a source ends.  A phase of more than ``resolution`` slots begins with repeats of
+    a schedule of so many, whose shares are off by less than a block each.
     """
-    total = sum(weights[s] for s in blocks)
-    share = {s: max(1, round(resolution * weights[s] / total)) for s in blocks}
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(blocks, 0)
+    left = {s: n for s, n in sorted(blocks.items()) if n}
+    done = dict.fromkeys(left, 0)
     rows, base = [], 0
+
+    def place(shares: list[int], cycles: int, slots: list[list[int]], size: int) -> None:
+        nonlocal base, left
+        for s, c, own in zip(list(left), shares, slots):
+            if c:
+                rows.append({"source": s, "first": done[s], "blocks": c * cycles, "share": c, "size": size, "base": base, "slots": own})
+            done[s] += c * cycles
+            left[s] -= c * cycles
+        base += size * cycles
+        left = {s: n for s, n in left.items() if n}
+
     while left:
-        for cycles, shares in ((min(n // share[s] for s, n in left.items()), None), (1, True)):
-            if not left or not cycles:
-                continue
-            now = {s: min(n, share[s]) if shares else share[s] for s, n in sorted(left.items())}
-            size = sum(now.values())
-            for (s, c), slots in zip(now.items(), pfair_slots(list(now.values()))):
-                rows.append({"source": s, "first": done[s], "blocks": c * cycles, "share": c, "size": size, "base": base, "slots": slots})
-                done[s] += c * cycles
-                left[s] -= c * cycles
-            base += size * cycles
-            left = {s: n for s, n in left.items() if n}
+        if len(left) == 1:
+            place([1], *left.values(), [[0]], 1)
+            break
+        exact = [Fraction(weights[s]) for s in left]
+        whole = math.lcm(*(w.denominator for w in exact))
+        parts = [int(w * whole) for w in exact]
+        if all(n * sum(parts) > resolution * w for n, w in zip(left.values(), parts)):
+            shares = _shares(parts, resolution)
+            # A block of each source is left for the phase's end.
+            cycles = min((n - 1) // c for n, c in zip(left.values(), shares) if c)
+            if cycles:
+                place(shares, cycles, pfair_slots(shares), resolution)
+        slots, size = _edf(parts, list(left.values()))
+        place([len(own) for own in slots], 1, slots, size)
     return rows
 
 

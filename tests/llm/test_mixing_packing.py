@@ -134,3 +134,30 @@ def test_sequences_hold_the_ids(spark, tokenizer):
 
 def test_nothing_to_pack(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("blocks, weights", [({"a": 450, "b": 50}, {"a": 1, "b": 1}), ({"a": 625, "b": 225}, {"a": 5000**0.5, "b": 1800**0.5}), ({"a": 300_000, "b": 20_000, "c": 90, "d": 1}, {"a": 2400e3**0.5, "b": 160e3**0.5, "c": 715**0.5, "d": 3**0.5}), ({"a": 900_000, "b": 800_000, "c": 7}, {"a": 1, "b": 0.7, "c": 1e-6})])
+def test_plan_keeps_to_weights_until_a_source_ends(blocks, weights):
+    at = {s: [] for s in blocks}
+    for r in mixing.plan(blocks, weights):
+        k = np.arange(r["blocks"])
+        at[r["source"]].append(r["base"] + k // r["share"] * r["size"] + np.array(r["slots"])[k % r["share"]])
+    at = {s: np.concatenate(x) for s, x in at.items()}
+    assert sorted(np.concatenate(list(at.values())).tolist()) == list(range(sum(blocks.values())))
+    start, left = 0, dict(weights)
+    while left:
+        end = min(at[s][-1] for s in left) + 1
+        n = np.arange(1, end - start + 1)
+        for s, w in left.items():
+            there = np.searchsorted(at[s], start + n - 1, "right") - np.searchsorted(at[s], start, "left")
+            slack = 1 if len(n) <= mixing.RESOLUTION else 1 + len(n) / mixing.RESOLUTION
+            assert np.abs(there - n * w / sum(left.values())).max() < slack
+        left = {s: w for s, w in left.items() if at[s][-1] >= end}
+        start = end
+
+
+def test_mix_of_a_small_table_is_to_weight(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3600, "big").otherwise("small").alias("source"))
+    got = sorted((r.slot, r.source) for r in mixing.mix_order(docs, {"big": 1, "small": 1}).collect())
+    first = [s for _, s in got[:800]]
+    assert first.count("small") == 400 and first[:80].count("small") == 40
