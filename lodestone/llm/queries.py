@@ -27,7 +27,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), every_row=True)
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
