@@ -118,13 +118,13 @@ def grammar() -> Transducer:
 def learn_stems(texts: list[str], toxic: list[int]) -> dict[str, float]:
     """Word beginnings that toxic documents have and clean ones don't, with their log odds (at most 6).
 
-    A beginning gives way to a longer one that keeps most of its toxic documents, and to a shorter one that was chosen.  Documents
-    that start alike, as copies do, count once.
+    A beginning gives way to a longer one that keeps most of its toxic documents, and to a shorter one that was chosen.  Copies
+    of a whole text count once.
     """
     bad, good = Counter(), Counter()
-    once = {(text[:40], y): text for text, y in zip(texts, toxic)}
+    once = dict.fromkeys(zip(texts, toxic))
     n = Counter(y for _, y in once)
-    for (_, y), text in once.items():
+    for text, y in once:
         found = {w[:k] for w in set(re.findall(r"[^\W_]+", text.lower())) for k in STEM_CHARS if len(w) >= k}
         (bad if y else good).update(found)
     odds = lambda s: math.log((bad[s] + 0.5) / (n[1] + 1)) - math.log((good[s] + 0.5) / (n[0] + 1))
