@@ -22,7 +22,7 @@ SEGMENT = 244
 #: Segments run side by side.
 BATCH = 1024
 #: The bounded sample that the network is trained on, and how it is trained.
-MAX_DOCS, MAX_CHARS, TRAIN_BYTES, STEPS, TRAIN_BATCH = 2000, 600, 64, 500, 96
+MAX_DOCS, MAX_CHARS, PIECES, TRAIN_BYTES, STEPS, TRAIN_BATCH = 2000, 600, 4, 64, 500, 96
 UNDETERMINED = "und"
 
 
@@ -173,10 +173,15 @@ class ByteLanguageNet:
         return z / z.sum(1, keepdims=True)
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteLanguageNet:
-    """Trained on at most MAX_DOCS documents with a language whose crc32 bucket of 4 isn't 2, MAX_CHARS of each at most."""
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> ByteLanguageNet:
+    """Trained on at most ``max_docs`` documents with a language whose crc32 bucket of 4 isn't 2.
+
+    Each language has an equal share of these, so that a rare one is learned too.  Of a text beyond ``max_chars`` runs over the
+    whole of it are learned from; training reads windows of TRAIN_BYTES of them in any case.
+    """
     lang = F.col(lang_col).cast("string")
-    sample = bounded_sample(docs, docs, lang, (crc_bucket(F.col(id_col), 4) != 2) & F.col(text_col).isNotNull(), MAX_DOCS, MAX_CHARS, id_col, text_col)
+    keep = (crc_bucket(F.col(id_col), 4) != 2) & F.col(text_col).isNotNull()
+    sample = bounded_sample(docs, docs, lang, keep, max_docs, max_chars, id_col, text_col, pieces=PIECES, per_label=True)
     languages = sorted({y for _, y in sample})
     return ByteLanguageNet(languages).fit([t.encode() for t, _ in sample], [y for _, y in sample])
 
@@ -184,13 +189,13 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def predict_languages(docs: DataFrame, net: ByteLanguageNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row: whole texts; ``und`` with score 0 if there is no letter.
 
-    A null id isn't held out.  If no language could be learned, all is ``und``.
+    A null id isn't held out.  If no language could be learned, all is ``und``.  Bytes that aren't UTF-8 are read as they are.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of_texts(batches, 4 << 20):
-            lettered = np.array([any(map(str.isalpha, t.decode())) for t in texts]) & bool(net.languages)
+            lettered = np.array([any(map(str.isalpha, t.decode("utf-8", "replace"))) for t in texts]) & bool(net.languages)
             langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             some = np.flatnonzero(lettered)
             if len(some):
