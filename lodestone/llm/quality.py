@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Filters run over the whole text; their maxima are taken in cells of 64 bytes, and overlapping chunks of four
-cells, two apart, cover the document.  A hidden layer reads each chunk; its mean and its maximum over all chunks give
+Each of the 256 bytes has a learned row of numbers.  Learned filters run over the whole text; their maxima are taken in
+cells of 64 bytes, and overlapping chunks of four cells, two apart, cover the document.  A hidden layer reads each chunk; its mean and its maximum over all chunks give
 one probability.
 """
 
@@ -18,29 +18,13 @@ from .common import batches_of_texts, crc_bucket, map_arrow
 from .labelled import bounded_sample
 
 CELL, CHUNK_CELLS, CHUNK_STEP = 64, 4, 2
-TAPS, STEP, FILTERS, HIDDEN = 8, 2, 24, 16
+#: Bytes that a filter sees, bytes from one place of it to the next, numbers that stand for a byte, filters, hidden units.
+TAPS, STEP, WIDTH, FILTERS, HIDDEN = 16, 2, 8, 24, 16
 #: Bytes that go through the filters at once.
 BLOCK = 1 << 16
-#: The bounded sample that the network is trained on.
-MAX_DOCS, MAX_CHARS, EPOCHS = 3000, 2048, 8
+#: The bounded sample that the network is trained on: documents, characters of each (in PIECES runs over the whole of a longer one).
+MAX_DOCS, MAX_CHARS, PIECES, EPOCHS = 3000, 1024, 4, 12
 THRESHOLD = 0.7
-#: A learned filter can't compare places of a text, so these channels tell it whether a byte repeats.
-LAGS = tuple(range(3, 17))
-
-
-def _codes() -> np.ndarray:
-    """What the filters see of a byte: its class and two signs that tell bytes of a class apart."""
-    b = np.arange(256)
-    classes = [(b >= 65) & (b <= 90), (b >= 97) & (b <= 122), (b >= 48) & (b <= 57), np.isin(b, (9, 10, 13, 32)), (b > 32) & (b < 127), b >= 128]
-    classes[4] &= ~(classes[0] | classes[1] | classes[2])
-    signs = np.random.default_rng(5).choice([-0.5, 0.5], (2, 256))
-    out = np.vstack([np.array(classes, float), signs]).T.astype(np.float32)
-    out[0] = 0
-    return out
-
-
-CODES = _codes()
-CHANNELS = CODES.shape[1] + 1
 
 
 def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,25 +38,17 @@ def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, cells
 
 
-def _inputs(part: np.ndarray, behind: int) -> np.ndarray:
-    """Windows (one row each) of the filters' inputs; ``part`` has ``behind`` bytes before the first and TAPS after the last."""
-    now = part[behind:]
-    x = np.empty((len(now), CHANNELS), np.float32)
-    np.take(CODES, now, axis=0, out=x[:, :-1], mode="clip")
-    same = np.zeros(len(now), np.float32)
-    for lag in LAGS:
-        a = part[behind - lag : len(part) - lag]
-        same += (now == a) & (np.concatenate((part[behind - 1 : behind], now[:-1])) == part[behind - lag - 1 : len(part) - lag - 1])
-    x[:, -1] = np.minimum(same, 3) * (now != 0)
-    n = (len(now) - TAPS) // STEP
-    return np.lib.stride_tricks.as_strided(x, (n, TAPS * CHANNELS), (STEP * CHANNELS * 4, 4))
+def _windows(table: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Windows (one row each) of TAPS bytes, each byte as its row of ``table``; ``part`` has TAPS bytes after the last."""
+    x = np.empty((len(part), WIDTH), np.float32)
+    np.take(table, part, axis=0, out=x, mode="clip")
+    return np.lib.stride_tricks.as_strided(x, ((len(part) - TAPS) // STEP, TAPS * WIDTH), (STEP * WIDTH * 4, 4))
 
 
 def _blocks(stream: np.ndarray) -> Iterator[np.ndarray]:
-    behind = max(LAGS) + 1
-    padded = np.concatenate((np.zeros(behind, np.uint8), stream, np.zeros(TAPS, np.uint8)))
+    padded = np.concatenate((stream, np.zeros(TAPS, np.uint8)))
     for i in range(0, len(stream), BLOCK):
-        yield _inputs(padded[i : min(i + BLOCK, len(stream)) + behind + TAPS], behind)
+        yield padded[i : min(i + BLOCK, len(stream)) + TAPS]
 
 
 def _chunks(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,13 +64,13 @@ def _chunks(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class ByteConvNet:
     def __init__(self, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        k = TAPS * CHANNELS
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.p = {"w": draw(k, FILTERS), "b": np.zeros(FILTERS, np.float32), "v": draw(FILTERS, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "u": draw(2 * HIDDEN), "d": np.zeros(1, np.float32)}
+        self.p = {"e": 16 * draw(256, WIDTH), "w": draw(TAPS * WIDTH, FILTERS), "b": np.zeros(FILTERS, np.float32), "v": draw(FILTERS, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "u": draw(2 * HIDDEN), "d": np.zeros(1, np.float32)}
+        self.p["e"][0] = 0  # what stands outside of a text
 
     def _cells(self, stream: np.ndarray) -> np.ndarray:
         per = CELL // STEP
-        return np.concatenate([(x @ self.p["w"]).reshape(-1, per, FILTERS).max(1) for x in _blocks(stream)])
+        return np.concatenate([(_windows(self.p["e"], part) @ self.p["w"]).reshape(-1, per, FILTERS).max(1) for part in _blocks(stream)])
 
     def _head(self, cell_max: np.ndarray, cells: np.ndarray) -> dict[str, np.ndarray]:
         a, b, first = _chunks(cells)
@@ -116,7 +92,8 @@ class ByteConvNet:
 
     def _gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         stream, cells = _stream(texts)
-        x = np.concatenate(list(_blocks(stream)))
+        padded = np.concatenate((stream, np.zeros(TAPS, np.uint8)))
+        x = _windows(self.p["e"], padded)
         per = CELL // STEP
         out = (x @ self.p["w"]).reshape(-1, per, FILTERS)
         arg = out.argmax(1)
@@ -137,10 +114,18 @@ class ByteConvNet:
         np.add.at(dcell, (cell, np.arange(FILTERS)), dp)
         dout = np.zeros((len(arg), per, FILTERS), np.float32)
         np.put_along_axis(dout, arg[:, None], dcell[:, None], 1)
-        g["w"] = x.T @ dout.reshape(-1, FILTERS)
+        # Only windows that were some filter's maximum have a part in it.
+        dout = dout.reshape(-1, FILTERS)
+        rows = np.flatnonzero(dout.any(1))
+        dout = dout[rows]
+        g["w"] = x[rows].T @ dout
+        seen = padded[rows[:, None] * STEP + np.arange(TAPS)].ravel()
+        dx = (dout @ self.p["w"].T).reshape(-1, WIDTH)
+        g["e"] = np.stack([np.bincount(seen, dx[:, i], 256) for i in range(WIDTH)], 1).astype(np.float32)
+        g["e"][0] = 0
         return g
 
-    def fit(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS, batch: int = 32, rate: float = 4e-3, seed: int = 3) -> ByteConvNet:
+    def fit(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS, batch: int = 32, rate: float = 6e-3, seed: int = 3) -> ByteConvNet:
         """Adam on the log loss, in random order."""
         y = np.array(labels, np.float32)
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
@@ -165,9 +150,13 @@ class ByteConvNet:
         return self
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ByteConvNet:
-    """Trained on at most MAX_DOCS labelled documents whose crc32 bucket of 4 isn't 2, MAX_CHARS of each at most."""
-    sample = bounded_sample(docs, labels, F.col("quality").cast("int"), crc_bucket(F.col(id_col), 4) != 2, MAX_DOCS, MAX_CHARS, id_col, text_col)
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> ByteConvNet:
+    """Trained on at most ``max_docs`` labelled documents whose crc32 bucket of 4 isn't 2.
+
+    Of a text beyond ``max_chars`` runs over the whole of it are learned from.  Without labels, or with one value only, all
+    texts get that share as their score.
+    """
+    sample = bounded_sample(docs, labels, F.col("quality").cast("int"), crc_bucket(F.col(id_col), 4) != 2, max_docs, max_chars, id_col, text_col, pieces=PIECES)
     return ByteConvNet().fit([t.encode() for t, _ in sample], [int(y > 0) for _, y in sample])
 
 
@@ -184,7 +173,11 @@ def score_quality(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", tex
 
 
 def keep_good(docs: DataFrame, net: ByteConvNet, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores THRESHOLD or more, with their columns; they stay in their tasks."""
+    """The rows whose text scores THRESHOLD or more, with their columns; they stay in their tasks.
+
+    Null text is scored as empty.  Each row is judged by its text alone, so null and repeated ids make no difference, and rows
+    that agree in all columns stay or go together.  Other columns may be of any type and name.
+    """
     schema = docs.schema
     at = docs.columns.index(text_col)
 
