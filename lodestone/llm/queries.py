@@ -39,7 +39,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.round_trip(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

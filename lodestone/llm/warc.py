@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from .common import fresh_key, map_arrow, ship, text_or_empty, work_dir
+from .common import cut, fresh_key, map_arrow, sent, ship, text_or_empty, work_dir
 
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 100
@@ -32,6 +32,8 @@ FILE_BYTES = 256 << 20
 SPLIT_BYTES = 64 << 20
 #: Bytes that are fetched to parse a record's headers.
 _HEAD_BYTES = 4096
+#: Up to so many repeated digests are sent to the scan, about 100 bytes each; beyond, payloads are joined with them by key.
+BROADCAST_DIGESTS = 300_000
 _EXTRA_ID = b"LS"
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,50 +88,55 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(page_id, url, payload, digest, length, refers_to): what the writer stores of each page.
 
     Null html is an empty payload.  Of equal payloads of REVISIT_BYTES or more, the page with the least id is the response
-    and the others refer to it; pages with a null id, and rows that repeat the response's id, are responses too.
+    and the others refer to it; pages with a null id, and rows that repeat the response's id, are responses too.  Payloads
+    stay in the scan's tasks as long as there are BROADCAST_DIGESTS repeated digests or fewer.
     """
     payload = text_or_empty(html_col).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.octet_length("payload").cast("long"))
-    first = rows.filter(F.col("length") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(fresh_key(F.col("digest")).alias("_k"), F.col("digest").alias("_digest"), "_first")
-    joined = rows.withColumn("_k", fresh_key(F.col("digest"))).join(first, "_k", "left")
+    first = rows.filter(F.col("length") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    first = cut(first.select(fresh_key(F.col("digest")).alias("_k"), F.col("digest").alias("_digest"), "_first"))
+    joined = rows.withColumn("_k", fresh_key(F.col("digest"))).join(sent(first, BROADCAST_DIGESTS), "_k", "left")
     revisit = (F.col("digest") == F.col("_digest")) & (F.col("page_id") != F.col("_first"))
     return joined.select("page_id", "url", "payload", "digest", "length", F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", split_bytes: int = SPLIT_BYTES) -> str:
     """Writes archives of all pages into ``folder`` and returns the path of their manifest.
 
     Each task attempt writes files of its own name; the manifest lists those of the attempts that ended, so
-    the remains of a lost executor are never read.
+    the remains of a lost executor are never read.  It also has the place of a record every ``split_bytes`` of a file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         stem = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
         fs, base = _filesystem(folder)
-        made, out, path = [], None, ""
+        made: list[dict] = []
+        out, path, marks = None, "", []
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    path = posixpath.join(base, f"{stem}-{len(made)}.warc.gz")
+                    path, marks = posixpath.join(base, f"{stem}-{len(made)}.warc.gz"), [0]
                     out = fs.open_output_stream(path, compression=None)
                     out.write(gzip_member(record_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:file:{posixpath.basename(path)}>", "WARC-Date": _DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")))
+                if out.tell() - marks[-1] >= split_bytes:
+                    marks.append(out.tell())
                 out.write(gzip_member(page_record(**row)))
                 if out.tell() >= FILE_BYTES:
-                    made.append((posixpath.basename(path), out.tell()))
+                    made.append({"file": posixpath.basename(path), "bytes": out.tell(), "marks": marks})
                     out.close()
                     out = None
         if out is not None:
-            made.append((posixpath.basename(path), out.tell()))
+            made.append({"file": posixpath.basename(path), "bytes": out.tell(), "marks": marks})
             out.close()
         if made:
-            yield pa.RecordBatch.from_pydict({"file": [m[0] for m in made], "bytes": [m[1] for m in made]})
+            yield pa.RecordBatch.from_pylist(made)
 
     fs, base = _filesystem(folder)
     fs.create_dir(base, recursive=True)
     records = plan_records(pages, id_col, url_col, html_col)
-    files = [r.asDict() for r in map_arrow(records, run, "file string, bytes long").collect()]
+    files = [r.asDict() for r in map_arrow(records, run, "file string, bytes long, marks array<long>").collect()]
     with fs.open_output_stream(posixpath.join(base, "manifest.json")) as out:
         out.write(json.dumps(sorted(files, key=lambda f: f["file"])).encode())
     return posixpath.join(folder, "manifest.json")
@@ -183,14 +190,15 @@ class _Plain:
         return self.f.read(most)
 
 
-def read_records(f: BinaryIO, compressed: bool, wanted, content: str) -> Iterator[tuple[int, dict[str, str], bytes | None, int | None, str | None]]:
+def read_records(f: BinaryIO, compressed: bool, wanted, content: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, dict[str, str], bytes | None, int | None, str | None]]:
     """(offset, headers, payload, payload's length, payload's sha256) of the records whose headers ``wanted`` accepts.
 
     content: none (headers only), digest (length and sha256), payload (also the bytes).  The payload of an
-    http record is what follows the http header; a revisit has none.
+    http record is what follows the http header; a revisit has none.  ``start`` is the place of a record; those that begin
+    at ``end`` or later are left to others.
     """
-    offset = 0
-    while True:
+    offset = start
+    while end is None or offset < end:
         source = _Gzip(f, offset) if compressed else _Plain(f, offset)
         head = b""
         while b"\r\n\r\n" not in head:
@@ -225,16 +233,19 @@ def read_records(f: BinaryIO, compressed: bool, wanted, content: str) -> Iterato
         offset = source.end() if compressed else offset + len(text) + 4 + length + 4
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]) -> None:
+class _Spans(InputPartition):
+    """Runs of records: (path, place of the first, place of the first after them or None for the file's end)."""
+
+    def __init__(self, spans: list[tuple[str, int, int | None]]) -> None:
         super().__init__(0)
-        self.paths = paths
+        self.spans = spans
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.content = options.get("content", "payload").lower()
+        self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         self.tests: list[tuple[str, str, Any]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -253,24 +264,30 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Files of the manifest, or of a folder or single path, in runs of about SPLIT_BYTES."""
+        """Runs of about ``split_bytes``: spans of a manifest's files, or whole files of a folder or single path.
+
+        A file without a manifest has to be read from its begin, as nothing tells where its records are.
+        """
         fs, base = _filesystem(self.path)
         prefix = self.path[: len(self.path) - len(base)] if self.path.endswith(base) else ""
+        spans: list[tuple[str, int, int | None, int]] = []
         if base.endswith("manifest.json"):
             with fs.open_input_stream(base) as f:
-                files = [(posixpath.join(posixpath.dirname(base), x["file"]), x["bytes"]) for x in json.loads(f.read())]
+                for x in json.loads(f.read()):
+                    path, marks = posixpath.join(posixpath.dirname(base), x["file"]), [*x.get("marks", [0]), x["bytes"]]
+                    spans += [(path, a, b, b - a) for a, b in zip(marks, marks[1:])]
         elif fs.get_file_info(base).type == pafs.FileType.Directory:
-            files = sorted((x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(base)) if re.search(r"\.warc(\.gz)?$", x.path))
+            spans = sorted((x.path, 0, None, x.size) for x in fs.get_file_info(pafs.FileSelector(base)) if re.search(r"\.warc(\.gz)?$", x.path))
         else:
-            files = [(base, fs.get_file_info(base).size)]
+            spans = [(base, 0, None, fs.get_file_info(base).size)]
         parts, held, size = [], [], 0
-        for path, n in files:
-            held.append(prefix + path)
-            size += n
-            if size >= SPLIT_BYTES:
-                parts.append(_Files(held))
+        for path, a, b, n in spans:
+            if held and size + n > self.split_bytes * 5 // 4:
+                parts.append(_Spans(held))
                 held, size = [], 0
-        return [*parts, *([_Files(held)] if held or not parts else [])]
+            held.append((prefix + path, a, b))
+            size += n
+        return [*parts, *([_Spans(held)] if held or not parts else [])]
 
     def _wanted(self, headers: dict[str, str]) -> bool:
         for name, kind, value in self.tests:
@@ -279,12 +296,12 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Spans) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for path in partition.paths:
+        for path, start, end in partition.spans:
             fs, base = _filesystem(path)
             with fs.open_input_file(base) as f:
-                for offset, h, payload, n, digest in read_records(f, base.endswith(".gz"), self._wanted, self.content):
+                for offset, h, payload, n, digest in read_records(f, base.endswith(".gz"), self._wanted, self.content, start, end):
                     own = {c: h.get(k) for c, k in _HEADERS.items()}
                     length = h.get("x-payload-length")
                     rows.append({"file": path, "record_offset": offset, **own, "payload_length": int(length) if length else None, "headers": list(h.items()), "payload_bytes": n, "payload_sha256": digest, "payload": payload})
@@ -297,7 +314,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").option("path", ...)``; option content: none, digest or payload (the default)."""
+    """``spark.read.format("warc").option("path", ...)``; options content: none, digest or payload (the default); split_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -310,11 +327,11 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read_warc(spark: SparkSession, path: str, content: str = "payload") -> DataFrame:
+def read_warc(spark: SparkSession, path: str, content: str = "payload", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("path", path).option("content", content).load()
+    return spark.read.format("warc").option("path", path).option("content", content).option("split_bytes", str(split_bytes)).load()
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
