@@ -13,16 +13,18 @@ import json
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_key
+from .common import cut, fresh_key
 
 #: A phase of up to so many slots has exact weights; a longer one repeats a schedule of so many.
 RESOLUTION = 500_000
 BLOCK_DOCS = 8
 #: Rows whose order within a source is settled by one sort, on average.
 BUCKET_ROWS = 250
+#: A range of more rows, as null ids or a much repeated one make, has its rows spread by their places instead.
+HOT_ROWS = 25_000
 #: Ranges whose counts are added up by one task.
 COARSE = 4096
 #: A plan of up to so many slots is sent to all tasks (4 bytes a slot).
@@ -112,22 +114,28 @@ def _ranked(docs: DataFrame, id_col: str, source_col: str, seed: int) -> DataFra
     """Rows as struct _row with _source and _rank, from 0, in a random order within the source.
 
     The order is that of a hash of the id.  A source's rows lie in hash ranges, whose counts are added up before the ranges
-    are ordered each for itself, so that a source of any size is dealt to many tasks.
+    are ordered each for itself, so that a source of any size is dealt to many tasks.  Where one id has very many rows, a row's
+    number is hashed with it.
     """
     key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
-    total = docs.count()
-    buckets = max(1, round(total / BUCKET_ROWS))
-    order = F.xxhash64(F.col(id_col), F.lit(seed))
-    bucket = F.pmod(F.shiftright(order, 16), F.lit(buckets))
-    rows = docs.select(F.struct("*").alias("_row"), key.alias("_source"), order.alias("_order"), bucket.alias("_bucket"), F.col(id_col).alias("_id"))
-    sizes = docs.select(key.alias("_source"), bucket.alias("_bucket")).groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_source"), F.col(id_col).alias("_id"))
+    buckets = max(1, round(docs.count() / BUCKET_ROWS))
+
+    def ordered(rows: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
+        placed = rows.withColumn("_order", order).withColumn("_bucket", F.pmod(F.shiftright("_order", 16), F.lit(buckets)))
+        return placed, placed.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+
+    placed, sizes = ordered(rows, F.xxhash64("_id", F.lit(seed)))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) > HOT_ROWS:
+        # Numbers of rows hold for what is written, whatever task reads it again.
+        placed, sizes = ordered(cut(rows.withColumn("_number", F.monotonically_increasing_id())), F.xxhash64("_id", F.lit(seed), "_number"))
     sizes = sizes.withColumn("_coarse", F.expr(f"_bucket div {COARSE}"))
     earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     fine = sizes.select("_source", "_coarse", "_bucket", F.coalesce(F.sum("_n").over(earlier("_source", "_coarse", "_bucket")), F.lit(0)).alias("_fine"))
     coarse = sizes.groupBy("_source", "_coarse").agg(F.sum("_n").alias("_n")).select("_source", "_coarse", F.coalesce(F.sum("_n").over(earlier("_source", "_coarse")), F.lit(0)).alias("_far"))
     offsets = fine.join(coarse, ["_source", "_coarse"]).select("_source", "_bucket", (F.col("_fine") + F.col("_far")).alias("_before"))
     within = Window.partitionBy("_source", "_bucket").orderBy("_order", "_id")
-    return rows.withColumn("_at", F.row_number().over(within) - 1).join(offsets, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_at"))
+    return placed.withColumn("_at", F.row_number().over(within) - 1).join(offsets, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_at"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", *, block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION, seed: int = 1, temperature: float = 2.0) -> DataFrame:
@@ -136,8 +144,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     ``weights``: the target weight of each source, above zero (a source that isn't named: the least of them);
     by default the document count to the power 1/temperature.  A null source is a source of its own.  position is
     unique and ascends with the slot; it leaves gaps where a source's last block is short.  No row is dropped: when a source
-    has ended, the others keep their weights among themselves.  Rows that repeat an id are mixed each for itself; an
-    empty table gives no rows.
+    has ended, the others keep their weights among themselves.  Rows that repeat an id, and rows with a null id, are mixed each
+    for itself; an empty table gives no rows.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
