@@ -14,14 +14,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, cut, map_arrow, text_slices
+from .common import batches_of_texts, cut, map_arrow, sent, text_slices
 
 CAPACITY = 2048
 #: Pieces that one packer takes on average: enough that its last open sequences hardly count.
 PACKER_PIECES = 50_000
+#: Documents in order that are packed together, about as many as a packer takes pieces.
+RUN_DOCS = 40_000
+#: A sequence's number: its window, its packer within it, its number within that.
+_PACKER_BITS, _BIN_BITS = 21, 20
 #: Words whose ids a worker keeps, in each of two generations.
 CACHE_WORDS = 150_000
 
@@ -104,9 +109,10 @@ def _tokenizer(path: str) -> WordTokenizer:
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, window: Column | None = None) -> DataFrame:
     """(window, doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut at ``capacity``.
 
-    Null text counts as empty: one piece with the end id alone.  ``window``: what is packed together, see ``pack``.
+    Null text counts as empty: one piece with the end id alone.  ``window``: the number, from 0, of what is packed together,
+    see ``pack``; all documents without it.
     """
-    within = F.xxhash64(F.lit(0) if window is None else window)
+    within = (F.lit(0) if window is None else window).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), within.alias("window"))
     end = np.array([end_id], "<u4").tobytes()
 
@@ -170,8 +176,9 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[
     def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         group = rows.column(0)[0].as_py()
         bins, offsets = sum_of_squares(rows.column(4).to_numpy(), capacity)
-        # A group's sequences are numbered within its own 2**32.
-        numbers = (np.int64(group) << np.int64(32)) + bins
+        if len(bins) and bins.max() >= 1 << _BIN_BITS:
+            raise ValueError("too many sequences in one packer")
+        numbers = (np.int64(group) << np.int64(_BIN_BITS)) + bins
         yield from pa.table([*rows.columns[1:], pa.array(numbers), pa.array(offsets)], [*_NAMES, "sequence_id", "offset"]).to_batches()
 
     for batch in batches:
@@ -190,19 +197,37 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[
 def pack(rows: DataFrame, capacity: int = CAPACITY, packer_pieces: int = PACKER_PIECES) -> DataFrame:
     """``pieces`` rows with sequence_id and offset; each sequence is gapless from 0.
 
-    Pieces of one window are packed together.  A window is dealt to packers by a hash of id and piece; how many
-    follows from the largest window's count, so a packer's memory doesn't grow with the table.  Ties between equal
+    Pieces of one window are packed together, and numbers of sequences ascend with the window.  A window of many pieces is
+    dealt to packers by a hash of id and piece, so a packer's memory doesn't grow with the table.  Ties between equal
     lengths go by id, so that a lost task's second run makes the same sequences.
     """
     rows = cut(rows)
-    largest = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    packers = max(1, round(largest / packer_pieces))
-    group = F.pmod(F.xxhash64("window", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers))), F.lit((1 << 31) - 1))
-    dealt = rows.select(group.alias("_group"), *_NAMES)
+    sizes = cut(rows.groupBy("window").agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) / packer_pieces).cast("long")).alias("_p")))
+    packers = sizes.agg(F.sum("_p")).first()[0] or 1
+    packer = F.pmod(F.xxhash64("doc_id", "piece"), F.col("_p"))
+    group = F.shiftleft(F.col("window"), _PACKER_BITS).bitwiseOR(packer)
+    dealt = rows.join(sent(sizes), "window").select(group.alias("_group"), *_NAMES)
     tasks = max(packers, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return map_arrow(dealt.repartition(tasks, "_group").sortWithinPartitions("_group", *_NAMES), lambda b: _pack_batches(b, capacity), _LENGTHS + ", sequence_id long, offset long")
 
 
+def in_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_docs: int = RUN_DOCS) -> DataFrame:
+    """(id, text, window) of documents in files: the number of a document's run of ``run_docs`` rows in the order of the files.
+
+    Files follow each other by name, as a sorted table is written, so windows don't depend on how files are dealt to tasks.
+    A table that isn't read from Parquet files has no such order and is one window.
+    """
+    try:
+        placed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+        placed.schema  # noqa: B018 (resolves the columns)
+    except AnalysisException:
+        return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("window"))
+    counts = placed.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    before = cut(counts.select("_f", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b")))
+    return placed.join(sent(before), "_f").select("doc_id", "text", F.expr(f"(_b + _i) div {run_docs}").alias("window"))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, window: Column | None = None) -> DataFrame:
     """Every piece of every document and its place: see ``pieces`` and ``pack``.
 
@@ -218,7 +243,7 @@ def sequences(docs: DataFrame, placements: DataFrame, tokenizer: str, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer)
         for batch, texts in batches_of_texts(batches):
-            ids = [np.append(np.frombuffer(x, "<u4"), 0).astype(np.int32) for x in encoder.encode([t.decode() for t in texts])]
+            ids = [np.append(np.frombuffer(x, "<u4"), 0).astype(np.int32) for x in encoder.encode([t.decode("utf-8", "replace") for t in texts])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     coded = map_arrow(rows, run, "doc_id long, ids array<int>")
