@@ -32,6 +32,8 @@ PRIOR = 50.0
 SPAN = 20
 #: Text per shard of a level, text per batch of documents, keys that a task holds before it sends them.
 SHARD_BYTES, BATCH_BYTES, HELD_KEYS = 48 << 20, 12 << 20, 6_000_000
+#: Bytes of levels that a worker holds where the shared folder isn't mounted and files are read as a whole.
+HELD_BYTES = 512 << 20
 #: What stands for the end; no word has a space.
 END = b" "
 _LEVELS = 255
@@ -220,6 +222,11 @@ class NgramModel:
         if path not in self.loaded:
             meta, a = map_arrays(path)
             self.loaded[path] = meta, {k: EliasFano.mapped(k, meta, a) for k in meta["coded"]}, a
+            # Mapped files are the system's to page out; files that had to be read are let go, the oldest first.
+            held = {p: sum(x.nbytes for x in own.values()) for p, (_, _, own) in self.loaded.items() if not all(isinstance(x.base, np.memmap) for x in own.values())}
+            while sum(held.values()) > HELD_BYTES and len(held) > 1:
+                oldest = next(iter(held))
+                del held[oldest], self.loaded[oldest]
         return self.loaded[path]
 
     def word_ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
