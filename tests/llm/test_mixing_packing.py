@@ -161,3 +161,49 @@ def test_mix_of_a_small_table_is_to_weight(spark):
     got = sorted((r.slot, r.source) for r in mixing.mix_order(docs, {"big": 1, "small": 1}).collect())
     first = [s for _, s in got[:800]]
     assert first.count("small") == 400 and first[:80].count("small") == 40
+
+
+def test_mix_spreads_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HOT_ROWS", 40)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    rows = [(None, "a", f"t{i}") for i in range(300)] + [(7, "b", f"u{i}") for i in range(100)] + [(i, "b", "v") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs, {"a": 1, "b": 1}, block_docs=2)
+    assert "_number" in got._jdf.queryExecution().analyzed().toString()
+    found = got.select("_row.*", "position").collect()
+    assert len({r.position for r in found}) == 500 and sorted((r.doc_id, r.source, r.text) for r in found if r.doc_id is not None) == sorted(r for r in rows if r[0] is not None)
+    assert {r.text for r in found if r.doc_id is None} == {f"t{i}" for i in range(300)}
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=60))
+def test_every_placement_makes_the_squares_least(lengths):
+    lengths = np.array(lengths)
+    bins, offsets = packing.sum_of_squares(lengths, 30)
+    used: dict[int, int] = {}
+
+    def squares(fill):
+        gaps = [30 - f for f in fill.values() if f < 30]
+        return sum(gaps.count(g) ** 2 for g in set(gaps))
+
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n, b = int(lengths[i]), int(bins[i])
+        choices = {c: squares(used | {c: f + n}) for c, f in used.items() if f + n <= 30}
+        assert offsets[i] == used.get(b, 0)
+        if choices:
+            best = min(choices.values())
+            assert choices[b] == best and 30 - used[b] == min(30 - used[c] for c, v in choices.items() if v == best)
+        else:
+            assert b == len(used)
+        used[b] = used.get(b, 0) + n
+
+
+def test_windows_follow_the_files_and_not_the_splits(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.window for r in packing.in_runs(docs, run_docs=150).collect()}
+    assert got == {i: i // 150 for i in range(1000)}
+    placed = packing.pack_documents(packing.in_runs(docs, run_docs=150), PATH, capacity=40, window=F.col("window")).collect()
+    order = sorted(placed, key=lambda r: (r.sequence_id, r.offset))
+    assert [got[r.doc_id] for r in order] == sorted(got.values()) and len(placed) == 1000
+    assert {r.window for r in packing.in_runs(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()} == {0}

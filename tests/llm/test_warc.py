@@ -77,3 +77,15 @@ def test_damage_is_an_error():
 
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("few", [300_000, -1])
+def test_spans_of_one_file_are_read_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", few)
+    rows = [(i, f"http://h/{i}", f"{i} " + "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(400)) if i % 5 else LONG) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_warc(pages, work_dir(spark, "t"), split_bytes=2000)
+    df = warc.read_warc(spark, manifest, "digest", split_bytes=2000)
+    assert df.rdd.getNumPartitions() > 10
+    got = sorted((r.record_id, r.record_type) for r in df.filter("record_type != 'warcinfo'").collect())
+    assert got == sorted((f"<urn:page:{i}>", "revisit" if i % 5 == 0 and i else "response") for i in range(200))
