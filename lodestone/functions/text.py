@@ -102,6 +102,11 @@ def fenced_json(text: Column) -> Column:
     return F.when(inner != "", inner).otherwise(F.trim(text))
 
 
+def hash_part(value: Column, parts: int) -> Column:
+    """A number from 0 below ``parts`` that follows from the value's text alone, in any engine: of the first 32 bits of its MD5."""
+    return F.pmod(F.conv(F.left(F.md5(value.cast("string")), F.lit(8)), 16, 10).cast("long"), F.lit(parts)).cast("int")
+
+
 # Cleaning ----------------------------------------------------------------------------------------------------------
 
 #: Legal signs and spelled-out symbols, in the order in which they are applied.
@@ -183,7 +188,7 @@ def or_pattern(words: list[str], *, plural: bool = False, boundary: bool = True)
 
 
 def expand_pattern(pattern: str, most: int = 1000) -> list[str]:
-    """The strings of a small pattern with groups of alternatives, character classes and optional parts."""
+    """The strings of a small pattern with groups of alternatives, character classes and optional parts; over ``most`` is an error."""
     import itertools
     import re
 
@@ -217,4 +222,7 @@ def expand_pattern(pattern: str, most: int = 1000) -> list[str]:
         return out
 
     found = ("".join(p) for a in alternatives(pattern) for p in itertools.product(*pieces(a)))
-    return list(dict.fromkeys(itertools.islice(found, most)))
+    strings = list(itertools.islice(found, most + 1))
+    if len(strings) > most:
+        raise ValueError(f"pattern stands for over {most} strings: {pattern}")
+    return list(dict.fromkeys(strings))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``table`` with the rows of ``changes`` put over those of the same keys and the rest added; null values don't overwrite.
@@ -41,6 +43,18 @@ def majority(votes: DataFrame, key: str, value: str) -> DataFrame:
     return first_per(n, [key], [F.col("votes").desc(), value])
 
 
+def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): each distinct value and its number, from 0, in ascending order; null isn't numbered.
+
+    Values are sorted by ranges, and the ranges' counts are added up, so that no task sees them all.
+    """
+    ranges = values.select(column).filter(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    placed = cut(ranges.withColumn("_i", F.monotonically_increasing_id()).select(column, F.shiftright("_i", 33).alias("_p"), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b"))
+    return placed.join(before, "_p").select(column, (F.col("_b") + F.col("_i")).alias(name))
+
+
 def mention_offsets(annotations: DataFrame, sources: list[str]) -> DataFrame:
     """(doc_id, term, offset): the first place of each lower-cased term per document, over several sources."""
     one = [annotations.filter(F.col("source") == s).groupBy("doc_id", F.lower("term").alias("term")).agg(F.min("offset").alias("offset")) for s in sources]

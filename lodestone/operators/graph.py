@@ -8,17 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.tables import ensure_checkpoints
+from ..sources.tables import cut as _cut
 
 # Levels from the most special to the most general.
 LEVELS = ("SUBINSTANCE", "INSTANCE", "L1_CATEGORY", "L2_CATEGORY", "L3_CATEGORY", "L4_CATEGORY", "L5_CATEGORY")
 NO_LEVEL = {"NA": -1, "UNKNOWN": -2}
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder, so that a loop's plan doesn't grow."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
+# Relationships that lead from a child to a parent.
+RELATIONSHIPS = ("isa", "mapped_to", "classified_as", "has_mechanism_of_action", "has_target", "has_active_ingredient", "tradename_of", "has_structural_class", "has_phenotype")
 
 
 def level_rank(level: Column) -> Column:
@@ -30,11 +26,25 @@ def next_level(level: Column) -> Column:
     return F.coalesce(*[F.when(level == a, F.lit(b)) for a, b in zip(LEVELS, LEVELS[1:])], level)
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int = 5) -> DataFrame:
+def checked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges``, or an error if there is none or one names an id that isn't in ``nodes`` (id)."""
+    if edges.isEmpty():
+        raise ValueError("a hierarchy needs edges")
+    ends = edges.select(F.col("head_id").alias("id")).union(edges.select("tail_id")).distinct()
+    unknown = [r["id"] for r in ends.join(nodes.select("id"), "id", "left_anti").orderBy("id").limit(5).collect()]
+    if unknown:
+        raise ValueError(f"unknown ids in edges: {unknown}")
+    return edges
+
+
+def ancestors(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int = 5, relationships: tuple[str, ...] | None = None) -> DataFrame:
     """(node, ancestor, depth): the least depth at which each ancestor is reached, going up at most ``max_depth`` edges.
 
-    ``edges``: head_id (parent) and tail_id (child).  One join per level, distinct in between, so that cycles end.
+    ``edges``: head_id (parent) and tail_id (child), with ``relationships`` also relationship, and others than these aren't
+    followed.  ``seeds`` (node): whose ancestors are wanted.  One join per level, distinct in between, so that cycles end.
     """
+    if relationships is not None:
+        edges = edges.filter(F.col("relationship").isin(list(relationships)))
     up = edges.select(F.col("tail_id").alias("_c"), F.col("head_id").alias("_p")).distinct()
     start = up if seeds is None else up.join(seeds.select(F.col("node").alias("_c")).distinct(), "_c", "left_semi")
     frontier = start.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
@@ -45,31 +55,44 @@ def ancestors(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int =
     return reduce(DataFrame.union, levels).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 
 
-def descendant_counts(edges: DataFrame, counts: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(node, count): a node's own count and those of its distinct descendants; nodes without counts have 0."""
-    pairs = ancestors(edges, None, max_depth).filter("node != ancestor").select(F.col("ancestor").alias("node"), F.col("node").alias("below")).distinct()
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor) at any depth: levels are added until one has no new pair, so that cycles end too."""
+    up = _cut(edges.select(F.col("tail_id").alias("_c"), F.col("head_id").alias("_p")).distinct())
+    known = frontier = up.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
+    while True:
+        stepped = frontier.join(up, frontier["ancestor"] == up["_c"]).select("node", F.col("_p").alias("ancestor")).distinct()
+        frontier = _cut(stepped.join(known, ["node", "ancestor"], "left_anti"))
+        if frontier.isEmpty():
+            return known
+        known = known.union(frontier)
+
+
+def descendant_counts(edges: DataFrame, counts: DataFrame) -> DataFrame:
+    """(node, count): a node's own count and those of its distinct descendants at any depth; nodes without counts have 0."""
+    pairs = closure(edges).filter("node != ancestor").select(F.col("ancestor").alias("node"), F.col("node").alias("below")).distinct()
     nodes = edges.select(F.col("head_id").alias("node")).union(edges.select("tail_id")).union(counts.select("node")).distinct()
     every = pairs.union(nodes.select("node", F.col("node").alias("below")))
     own = counts.select(F.col("node").alias("below"), F.col("count").alias("_n"))
     return every.join(own, "below", "left").groupBy("node").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("count"))
 
 
-def without_cycles(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
+def without_cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Edges that lie on no cycle and lead from no cycle to another: what peeling leaves and roots take away is kept.
 
     Nodes without parents are peeled off round by round; edges between the nodes that remain in the end, after peeling
-    childless ones as well, are on cycles or between them and go.
+    childless ones as well, are on cycles or between them and go.  Rounds are half the longest path, and a graph that isn't done
+    in ``max_rounds`` is an error.
     """
     rest = _cut(edges.select("head_id", "tail_id").distinct())
     before = -1
     for _ in range(max_rounds):
         if (now := rest.count()) == before:
-            break
+            return edges.join(rest, ["head_id", "tail_id"], "left_anti")
         before = now
         rest = rest.join(rest.select(F.col("tail_id").alias("_t")).distinct(), F.col("head_id") == F.col("_t"), "left_semi")
         rest = rest.join(rest.select(F.col("head_id").alias("_h")).distinct(), F.col("tail_id") == F.col("_h"), "left_semi")
         rest = _cut(rest)
-    return edges.join(rest, ["head_id", "tail_id"], "left_anti")
+    raise RuntimeError(f"peeling did not end in {max_rounds} rounds")
 
 
 def assigned_levels(edges: DataFrame, counts: DataFrame, thresholds: list[float], max_rounds: int = 15) -> DataFrame:
@@ -148,19 +171,3 @@ def shared_synonyms(synonyms: DataFrame) -> DataFrame:
     """(id, keep): ids that share a term with a smaller id, and the least such id."""
     least = synonyms.groupBy("term").agg(F.min("id").alias("_least"), F.countDistinct("id").alias("_n")).filter("_n > 1")
     return synonyms.join(least, "term").filter("id != _least").groupBy("id").agg(F.min("_least").alias("keep"))
-
-
-def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """(node, component) by spreading the least id, for graphs of small diameter such as similarity clusters."""
-    both = _cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    labels = both.select(F.col("u").alias("node"), F.least("u", "v").alias("l")).groupBy("node").agg(F.min("l").alias("component"))
-    before = None
-    for _ in range(max_rounds):
-        seen = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("_c"))
-        labels = labels.join(seen, F.col("node") == F.col("u")).select("node", F.least("component", "_c").alias("component"))
-        labels = _cut(labels)
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return labels
-        before = now
-    raise RuntimeError("components did not settle")

@@ -32,18 +32,18 @@ def linked(mentions: DataFrame, canonical: DataFrame, overrides: DataFrame | Non
     return joined.select(*mentions.columns, F.coalesce(F.col("_c.canonical_id").cast("string"), F.lower("term")).alias("canonical_id"), F.coalesce("_c.canonical_name", F.lower("term")).alias("canonical_name"))
 
 
-def dictionary_entities(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 4) -> DataFrame:
-    """(doc_id, start, length, term): dictionary terms in the word n-grams of each text, the longest at every place.
+def dictionary_entities(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, length, term): dictionary terms among the words of each text, the longest at every place.
 
-    An equi-join on n-grams; a span inside a longer one that was found goes.
+    Each word meets the terms that begin with it, whose other words are then compared with those that follow; terms may be of
+    any length.  A span inside a longer one that was found goes.
     """
-    words = text.tokens(F.col(text_col))
-
-    def of(w: Column, n: int) -> Column:
-        return F.transform(text.word_ngrams(w, n), lambda g, i: F.struct((i + 1).alias("start"), F.lit(n).alias("length"), g.alias("term")))
-
-    spans = text.let(words, lambda w: F.flatten(F.array(*[of(w, n) for n in range(1, longest + 1)])))
-    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(spans).alias("_s")).select("doc_id", "_s.*").join(dictionary.select(F.lower("term").alias("term")).distinct(), "term")
+    terms = dictionary.select(text.tokens(F.col("term")).alias("_w")).filter(F.size("_w") > 0).distinct()
+    terms = terms.select(F.get("_w", F.lit(0)).alias("_first"), "_w", F.size("_w").alias("length"), F.array_join("_w", " ").alias("term"))
+    longest = terms.agg(F.max("length")).first()[0] or 1
+    runs = text.let(text.tokens(F.col(text_col)), lambda w: F.transform(w, lambda x, i: F.struct((i + 1).alias("start"), x.alias("_first"), F.slice(w, i + 1, longest).alias("_run"))))
+    placed = docs.select(F.col(id_col).alias("doc_id"), F.explode(runs).alias("_s")).select("doc_id", "_s.*")
+    found = placed.join(terms, "_first").filter(F.slice("_run", F.lit(1), F.col("length")) == F.col("_w")).select("doc_id", "start", "length", "term")
     return without_overlaps(found)
 
 

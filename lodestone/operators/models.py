@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, StringIndexer, VectorAssembler
@@ -12,13 +11,30 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import etl
+
 
 def label_encoded(df: DataFrame, column: str, code: str, back: str) -> DataFrame:
-    """Adds the number of each value in alphabetical order, and the value read back from the number."""
-    model = StringIndexer(inputCol=column, outputCol=code, stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
-    values = F.array(*[F.lit(v) for v in model.labels])
-    out = model.transform(df).withColumn(code, F.col(code).cast("int"))
-    return out.withColumn(back, F.get(values, F.col(code)))
+    """Adds the number of each value in alphabetical order, and the value read back from the number; null has neither.
+
+    The labels are a table that is joined by key both ways, however many there are.
+    """
+    labels = etl.numbered(df, column, code).withColumn(code, F.col(code).cast("int"))
+    coded = df.join(labels, column, "left")
+    return coded.join(labels.select(code, F.col(column).alias(back)), code, "left").select(*df.columns, code, back)
+
+
+def fitted(stages: list, df: DataFrame) -> tuple[list, DataFrame]:
+    """The stages' models, each fitted on what those before made of ``df``, and what all make of it."""
+    models = []
+    for stage in stages:
+        models.append(stage.fit(df) if hasattr(stage, "fit") else stage)
+        df = models[-1].transform(df)
+    return models, df
+
+
+def applied(models: list, df: DataFrame) -> DataFrame:
+    return reduce(lambda rows, m: m.transform(rows), models, df)
 
 
 def binned(df: DataFrame, column: str, name: str, bins: int) -> DataFrame:
@@ -42,9 +58,8 @@ def outcome_metrics(df: DataFrame, categories: list[str], numbers: list[str], ou
     """(metric, value): accuracy, precision and recall of the outcome, mean absolute error of the duration that takes it as input."""
     train, test = split(df, id_col)
     stages = [*features(categories, numbers), StringIndexer(inputCol=outcome, outputCol="label", handleInvalid="keep"), LogisticRegression(maxIter=20, predictionCol="outcome_p", probabilityCol="outcome_v", rawPredictionCol="outcome_r")]
-    first = Pipeline(stages=stages).fit(train)
-    second = Pipeline(stages=[VectorAssembler(inputCols=["features", "outcome_v"], outputCol="features_2"), LinearRegression(featuresCol="features_2", labelCol=duration, predictionCol="duration_p", maxIter=20, regParam=0.1)]).fit(first.transform(train))
-    done = second.transform(first.transform(test))
+    stages += [VectorAssembler(inputCols=["features", "outcome_v"], outputCol="features_2"), LinearRegression(featuresCol="features_2", labelCol=duration, predictionCol="duration_p", maxIter=20, regParam=0.1)]
+    done = applied(fitted(stages, train)[0], test)
     grade = lambda m: MulticlassClassificationEvaluator(labelCol="label", predictionCol="outcome_p", metricName=m).evaluate(done)
     rows = [(m, float(grade(m))) for m in ("accuracy", "weightedPrecision", "weightedRecall")]
     rows.append(("mae", float(RegressionEvaluator(labelCol=duration, predictionCol="duration_p", metricName="mae").evaluate(done))))

@@ -12,14 +12,25 @@ from pyspark.sql.types import StructType
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one where none is set, as in local tests."""
+    """The session's checkpoint folder; a temporary one where none is set in a local session, as in tests.
+
+    Machines of a cluster don't share such a folder, so there it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and (not context.master.startswith("local") or "cluster" in context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         context.setCheckpointDir(configured or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again, so that a loop's plan doesn't grow."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
     return posixpath.join(ensure_checkpoints(spark), f"{purpose}-{uuid.uuid4().hex}")
 

@@ -24,17 +24,19 @@ def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs the stream over what there is and returns the last state of each day."""
+    """Runs the stream over what there is and returns the last state of each day and type.
+
+    Batches bring the rows that changed, and days behind the watermark leave the state; of each key the newest batch counts.
+    """
     out = scratch(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = daily(event_stream(spark, sf_dir)).writeStream.outputMode("complete").option("checkpointLocation", f"{out}-state").foreachBatch(keep).trigger(availableNow=True).start()
+    query = daily(event_stream(spark, sf_dir)).writeStream.outputMode("update").option("checkpointLocation", f"{out}-state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    batches = spark.read.parquet(out)
-    last = batches.agg(F.max("batch")).first()[0]
-    return batches.filter(F.col("batch") == last).drop("batch")
+    newest = spark.read.parquet(out).groupBy("day", "event_type").agg(F.max(F.struct("batch", "count", "total")).alias("_s"))
+    return newest.select("day", "event_type", "_s.count", "_s.total")
 
 
 def incremental_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
