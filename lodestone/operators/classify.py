@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ INTERVENTIONS = {"Behavioral": "BEHAVIORAL", "Biological": "PHARMACOLOGICAL", "C
 INTERVENTION_PRIORITY = ("PHARMACOLOGICAL", "DEVICE", "BEHAVIORAL", "DIAGNOSTIC", "PROCEDURE", "DIETARY")
 HYPOTHESES = {"Superiority": "SUPERIORITY", "Superiority or Other": "SUPERIORITY", "Superiority or Other (legacy)": "SUPERIORITY", "Non-Inferiority": "NON_INFERIORITY", "Equivalence": "EQUIVALENCE", "Non-Inferiority or Equivalence": "NON_SUPERIORITY", "Non-Inferiority or Equivalence (legacy)": "NON_SUPERIORITY", "Other": "OTHER"}
 DOSE_TERMS = ["dose", "doses", "dosing", "dosage", "dosages", "mad", "sad", "pharmacokinetic", "pharmacokinetics", "pharmacodynamics", "titration", "titrating"]
-CONTROL_TERMS = ["placebo", "sham", "best supportive care", "standard", "usual care", "treatment as usual", "care as usual", "sugar pill", "routine", "comparator", "best practice", "no treatment", "saline solution", "conventional", "aspirin", "control", "normal saline"]
+CONTROL_TERMS = ["placebo", "sham", "best supportive care", "standard", "usual care", "treatment as usual", "care as usual", "sugar pill", "routine", "comparator", "best practice", "no treatment", "saline solution", "conventional", "aspirin", "control", "tablet dosage form", "laboratory biomarker analysis", "drug vehicle", "pharmacological study", "normal saline", "therapeutic procedure", "quality.?of.?life", "questionnaire"]
 OWNER_PRIORITY = {"INDUSTRY_LARGE": 1, "HEALTH_SYSTEM": 5, "INDIVIDUAL": 7, "UNIVERSITY": 10, "GOVERNMENTAL": 20, "FOUNDATION": 30, "NON_PROFIT": 40, "INDUSTRY": 50, "OTHER_ORGANIZATION": 100, "OTHER": 1000}
 OWNER_WORDS = {
     "UNIVERSITY": ["university", "universitat", "univ", "college", "school", "institute of technology"],
@@ -43,14 +44,18 @@ def mapped(column: Column, values: dict[str, str], otherwise: str = "UNKNOWN") -
     return F.coalesce(F.try_element_at(table, column), F.lit(otherwise))
 
 
-def keyword_classes(df: DataFrame, id_col: str, text_col: str, keywords: dict[str, Iterable[str]], otherwise: str, *, strict: bool = False, longest: int = 3) -> DataFrame:
+def keyword_classes(df: DataFrame, id_col: str, text_col: str, keywords: dict[str, Iterable[str]], otherwise: str, *, strict: bool = False, longest: int = 3, depluralised: bool = False) -> DataFrame:
     """(id, classes): sorted classes of a text's word 1- to 3-grams, [otherwise] where there is none.
 
-    ``strict`` adds ``otherwise`` wherever some n-gram has no class, as well.  The keyword table is a plan constant.
+    ``strict`` adds ``otherwise`` wherever some n-gram has no class, as well.  ``depluralised`` lets a keyword also stand for its
+    plural.  Keywords are compared as words, without the signs between them; one that is in several classes has them all.  The
+    keyword table is a plan constant.
     """
-    table = {text_: kind for kind, words in keywords.items() for word in words for text_ in text.expand_pattern(word.lower())}
+    spellings = {(" ".join(re.findall(r"[^\W_]+", form)), kind) for kind, words in keywords.items() for word in words for form in text.expand_pattern(word.lower())}
+    if depluralised:
+        spellings |= {(term + "s", kind) for term, kind in spellings}
     spark = df.sparkSession
-    lookup = F.broadcast(spark.createDataFrame(sorted(table.items()), "term string, class string"))
+    lookup = F.broadcast(spark.createDataFrame(sorted(spellings), "term string, class string"))
     grams = df.select(F.col(id_col).alias("_id"), F.explode_outer(text.all_ngrams(text.tokens(F.coalesce(F.col(text_col), F.lit(""))), longest)).alias("term"))
     hit = grams.join(lookup, "term", "left").withColumn("class", F.coalesce("class", F.lit(otherwise)) if strict else F.col("class"))
     found = hit.groupBy("_id").agg(F.array_sort(F.collect_set("class")).alias("classes"))
@@ -91,7 +96,7 @@ def comparison_type(arm_types: Column, interventions: Column, intervention_names
         .when(any_arm("active comparator") & any_name(DOSE_TERMS), "DOSE")
         .when(any_arm("active comparator"), "ACTIVE")
         .when(any_arm("no intervention") | any_name(["no treatment"]), "NO_INTERVENTION")
-        .when(any_name(CONTROL_TERMS), "STANDARD")
+        .when(F.exists(intervention_names, lambda n: n.rlike(r"(?i)\b(?:" + "|".join(CONTROL_TERMS) + r")\b")), "STANDARD")
         .when(F.size(F.array_distinct(interventions)) == 1, "NO_CONTROL")
         .otherwise("UNKNOWN")
     )
