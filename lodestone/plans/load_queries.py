@@ -47,7 +47,7 @@ def intervention_sources(t: Tables) -> DataFrame:
 
 
 @query(
-    "ETL-07 ETL-08 JOIN-07 NLP-23",
+    "ETL-07 JOIN-07",
     """WITH n AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS interventions FROM mentions GROUP BY 1), o AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS sponsors FROM ownables GROUP BY 1)
     SELECT doc_id, CAST(enrollment AS BIGINT) AS enrollment, coalesce(interventions, '') AS interventions, coalesce(sponsors, '') AS sponsors FROM trials LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)""",
 )
@@ -91,7 +91,7 @@ def warehouse_subset(t: Tables) -> DataFrame:
     return out.select("o_orderkey", "o_custkey", F.array_join(F.col("family_members").cast("array<string>"), ",").alias("family"))
 
 
-@query("ETL-22 NLP-08", r"SELECT p_partkey, trim(regexp_replace(p_name, '\b(?:red|blue)\b', '', 'g')) AS term FROM part WHERE length(trim(regexp_replace(p_name, '\b(?:red|blue)\b', '', 'g'))) >= 3", views=False)
+@query("ETL-22", r"SELECT p_partkey, trim(regexp_replace(p_name, '\b(?:red|blue)\b', '', 'g')) AS term FROM part WHERE length(trim(regexp_replace(p_name, '\b(?:red|blue)\b', '', 'g'))) >= 3", views=False)
 def cleaned_annotations(t: Tables) -> DataFrame:
     return loads.cleaned_annotations(t.part.select("p_partkey", F.col("p_name").alias("term")), [r"\b(?:red|blue)\b"])
 
@@ -120,7 +120,7 @@ def hashed_text_vectors(t: Tables) -> DataFrame:
     return loads.hashed_vectors(t.benchmark, "text", 16).select("item_id", F.posexplode("vector").alias("i", "x"))
 
 
-@query("CLS-16 CLS-17", "SELECT p_partkey, p_size % 2 = 0 AS chemical FROM part", views=False)
+@query("CLS-16", "SELECT p_partkey, p_size % 2 = 0 AS chemical FROM part", views=False)
 def chemical_names(t: Tables) -> DataFrame:
     name = F.when(F.col("p_size") % 2 == 0, "2-(4-chlorophenyl)-N-methylacetamide").otherwise(F.col("p_name"))
     return t.part.select("p_partkey", loads.is_chemical_name(name).alias("chemical"))
@@ -142,7 +142,7 @@ def request_entities(t: Tables) -> DataFrame:
     return _engine(t).entities(_SEARCH).select("category_rollup", "record_count")
 
 
-@query("API-02 API-03 API-04", f"WITH {_HIT} SELECT doc_id, doc_date FROM hit WHERE doc_type = 'trial' ORDER BY doc_date DESC, doc_id LIMIT 2000")
+@query("API-04 RPT-06", f"WITH {_HIT} SELECT doc_id, doc_date FROM hit WHERE doc_type = 'trial' ORDER BY doc_date DESC, doc_id LIMIT 2000")
 def request_trials(t: Tables) -> DataFrame:
     return _engine(t).documents(_SEARCH, "trial").select("doc_id", "doc_date")
 
@@ -152,12 +152,22 @@ def request_summary(t: Tables) -> DataFrame:
     return _engine(t).summarize(_SEARCH)
 
 
-@query("API-08 API-07", f"WITH {_HIT} SELECT category_rollup AS x, doc_type AS y, count(DISTINCT doc_id) AS count FROM mentions JOIN hit USING (doc_id) GROUP BY 1, 2")
+@query("API-08", f"WITH {_HIT} SELECT category_rollup AS x, doc_type AS y, count(DISTINCT doc_id) AS count FROM mentions JOIN hit USING (doc_id) GROUP BY 1, 2")
 def request_x_by_y(t: Tables) -> DataFrame:
     return _engine(t).x_by_y(_SEARCH, "category_rollup", "doc_type")
 
 
-@query("API-12 API-11 API-09")
+@query("API-02 RPT-05", f"WITH {_HIT} SELECT doc_id, doc_date FROM hit WHERE doc_type = 'patent' ORDER BY doc_date DESC, doc_id LIMIT 2000")
+def request_patents(t: Tables) -> DataFrame:
+    return _engine(t).documents(_SEARCH, "patent").select("doc_id", "doc_date")
+
+
+@query("API-03 RPT-07", f"WITH {_HIT} SELECT doc_id, doc_date FROM hit WHERE doc_type = 'regulatory_approval' ORDER BY doc_date DESC, doc_id LIMIT 2000")
+def request_approvals(t: Tables) -> DataFrame:
+    return _engine(t).documents(_SEARCH, "regulatory_approval").select("doc_id", "doc_date")
+
+
+@query("API-12")
 def request_companies(t: Tables) -> DataFrame:
     q = t.embeddings.filter("vec_id = 0").first()["embedding"]
     return _engine(t).companies(q, 200, 1990)
