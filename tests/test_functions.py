@@ -89,3 +89,8 @@ def test_vectors(spark):
     assert value(spark, vectors.l1_normalised(zero)) == [0.0, 0.0]
     assert value(spark, vectors.padded(a, 3)) == [3.0, 4.0, 0.0]
     assert value(spark, vectors.combined(a, zero, 0.5)) == [1.5, 2.0]
+
+
+def test_too_many_strings_are_an_error():
+    with pytest.raises(ValueError):
+        text.expand_pattern("[abcdefghij][abcdefghij][abcdefghij][abcdefghij]")

@@ -3,7 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import classify, clustering, companies, entities, etl, graph, linking, reports, scoring, search
+from lodestone.functions import nested
+from lodestone.operators import classify, clustering, companies, entities, etl, graph, linking, owners, reports, scoring, search
+from lodestone.sources import sql
 
 
 def value(spark, column):
@@ -209,3 +211,99 @@ def test_recency_score(spark):
     assert value(spark, companies.recency_score(F.lit(0.5), F.lit(2024), 2000)) == pytest.approx(0.5)
     assert value(spark, companies.recency_score(F.lit(0.5), F.lit(1990), 2000)) == 0.0
     assert math.isclose(value(spark, linking.candidate_score(F.lit(0.8), F.lit(0.4), F.lit(None).cast("double"), F.lit(9))), (0.6 + 0.1) * 0.7 * 1.05)
+
+
+def test_long_chains_are_not_cut(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(60)], "head_id string, tail_id string")
+    assert graph.without_cycles(edges).count() == 60
+    counts = spark.createDataFrame([(f"n{i}", 1) for i in range(61)], "node string, count long")
+    assert {r["node"]: r["count"] for r in graph.descendant_counts(edges, counts).collect()}["n0"] == 61
+
+
+def test_a_hierarchy_needs_edges_of_known_ids(spark):
+    edges = spark.createDataFrame([("a", "b")], "head_id string, tail_id string")
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert graph.checked(edges, nodes).count() == 1
+    with pytest.raises(ValueError):
+        graph.checked(edges.limit(0), nodes)
+    with pytest.raises(ValueError, match="b"):
+        graph.checked(edges, nodes.limit(1))
+
+
+def test_only_wanted_relationships_are_followed(spark):
+    edges = spark.createDataFrame([("p", "c", "isa"), ("q", "c", "process_involves_gene"), ("r", "p", "mapped_to")], "head_id string, tail_id string, relationship string")
+    seeds = spark.createDataFrame([("c",)], "node string")
+    got = {(r["node"], r["ancestor"], r["depth"]) for r in graph.ancestors(edges, seeds, 5, graph.RELATIONSHIPS).collect()}
+    assert got == {("c", "p", 1), ("c", "r", 2)}
+
+
+def test_terms_of_five_words_are_found(spark):
+    docs = spark.createDataFrame([(1, "One of the very long names here, one of the others"), (2, None), (3, "")], "doc_id long, text string")
+    terms = spark.createDataFrame([("of the very long names",), ("one of",), ("the",), ("",), (None,)], "term string")
+    got = sorted((r.doc_id, r.start, r.length, r.term) for r in linking.dictionary_entities(docs, terms).collect())
+    assert got == [(1, 2, 5, "of the very long names"), (1, 8, 2, "one of"), (1, 10, 1, "the")]
+
+
+# Names and what they stand for.
+OWNER_TYPES = {
+    "mayo clinic": "HEALTH_SYSTEM", "albert einstein college medicine": "UNIVERSITY", "wisconsin university": "UNIVERSITY", "pfizer": "INDUSTRY_LARGE",
+    "random co, inc": "INDUSTRY", "us government": "GOVERNMENTAL", "random llc": "INDUSTRY", "bristol university research foundation": "UNIVERSITY",
+}
+
+
+def test_owner_types(spark):
+    rows = spark.createDataFrame([(n, n) for n in OWNER_TYPES], "id string, name string")
+    assert {r["id"]: r["owner_type"] for r in owners.owner_types(rows, "id", "name").collect()} == OWNER_TYPES
+
+
+def test_owner_names(spark):
+    # Names and the owners they are known by.
+    known = {
+        "Pfizer Inc": "pfizer", "PFIZER R&D UK LTD": "pfizer", "BioGen Ma": "biogen", "Astrazeneca China": "astrazeneca", "ASTRAZENECA (CHINA) CO LTD": "astrazeneca", "US GOV NAT INST HEALTH": "us government", "siemens ag gmbh": "siemens", "NOVO NORDISK HEALTHCARE AG": "novo nordisk",
+        "Genentech, Inc.": "roche", "JANSSEN PHARMACEUTICA N V": "johnson & johnson", "THE PROCTER & GAMBLE COMPANY": "procter and gamble", "Matsushita Electric Ind Co Ltd": "matsushita", "MERCK & CO INC": "merck",
+    }
+    names = spark.createDataFrame([(n, 1) for n in known], "name string, count long")
+    assert {r["name"]: r["canonical"] for r in owners.canonical_owners(names, cluster=False).collect()} == known
+    cleaned = {r["name"]: r["cleaned"] for r in owners.canonical_owners(spark.createDataFrame([("Charles River Lab", 1), ("BBOB Labs", 1), ("MO R & D INC", 1), ("THE UNIV OF TORONTO", 1)], "name string, count long"), cluster=False).collect()}
+    assert cleaned == {"Charles River Lab": "charles river laboratory", "BBOB Labs": "bbob laboratory", "MO R & D INC": "mo research and development inc", "THE UNIV OF TORONTO": "university of toronto"}
+
+
+def test_owner_clusters(spark):
+    rows = [("Charles River Laboratories Inc", 1), ("Charles River Lab", 2), ("Charles River Laboratories", 1), ("university of colorado", 2), ("university of colorado, denver", 1), ("one of a kind gizmos", 1)]
+    got = {r["name"]: r["canonical"] for r in owners.canonical_owners(spark.createDataFrame(rows, "name string, count long")).collect()}
+    assert {got["Charles River Lab"], got["Charles River Laboratories"]} == {"charles river laboratory"}
+    assert got["one of a kind gizmos"] == "other"
+
+
+def test_deep_merge(spark):
+    kind = "map<string,map<string,array<int>>>"
+    df = spark.createDataFrame([({"a": {"a1": [1]}, "b": {"a1": [2]}}, {"a": {"a1": [3]}, "b": {"a1": [4]}, "c": {"x": [5]}}), (None, {"a": {"a1": [1]}})], f"x {kind}, y {kind}")
+    got = [r["m"] for r in df.select(nested.merged(F.col("x"), F.col("y"), df.schema["x"].dataType).alias("m")).collect()]
+    assert got == [{"a": {"a1": [1, 3]}, "b": {"a1": [2, 4]}, "c": {"x": [5]}}, {"a": {"a1": [1]}}]
+
+
+def test_rows_of_sql_text(spark):
+    seen = []
+    t = spark.range(25)
+    assert sql.select(spark, "SELECT id FROM {t} WHERE id < 3 ORDER BY id", tables={"t": t}) == [{"id": 0}, {"id": 1}, {"id": 2}]
+    assert sql.select(spark, "SELECT id FROM {t}", seen.append, 10, {"t": t}) == [] and sorted(map(len, seen)) == [5, 10, 10]
+    tries = []
+
+    def third_time():
+        tries.append(1)
+        return 1 / (len(tries) // 3)
+
+    assert sql.retried(third_time, wait=0) == 1 and len(tries) == 3
+    with pytest.raises(ZeroDivisionError):
+        sql.retried(lambda: 1 / 0, tries=2, wait=0)
+
+
+def test_close_vectors_against_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(80)]
+    got = {(r.u, r.v) for r in clustering.close_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.15).collect()}
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5 / 6**0.5
+    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if far(a, b) < 0.15} and got
