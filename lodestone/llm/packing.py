@@ -23,6 +23,8 @@ from .common import batches_of_texts, cut, map_arrow, sent, text_slices
 CAPACITY = 2048
 #: Pieces that one packer takes on average: enough that its last open sequences hardly count.
 PACKER_PIECES = 50_000
+#: Bytes of text that a worker encodes at once; it needs some thirty times as much.
+SLICE_BYTES = 3 << 20
 #: Documents in order that are packed together, about as many as a packer takes pieces.
 RUN_DOCS = 40_000
 #: A sequence's number: its window, its packer within it, its number within that.
@@ -119,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer)
         gc.disable()  # long lists of words, but no cycles
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE_BYTES):
             ids, at = encoder.encode_array(pc.fill_null(batch.column(1), b"").cast(pa.large_string()))
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, within, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
