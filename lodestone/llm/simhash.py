@@ -32,21 +32,24 @@ FRONTIER = 1 << 14
 _COUNT_ROWS = 1 << 15
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """The SimHash of a text: a bit is 1 if set in over half of its shingles' XXH64 values; no words give 0."""
+def shingle_hashes(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
+    """The XXH64 value of each shingle, repeats included; a text of fewer words is one shingle, none give none."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.array([], np.uint64)
     joined = b" ".join(tokens)
+    h = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        h = xxhash.xxh64_intdigest
-        n = len(tokens) - words + 1
-        hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n)
+        return np.array([h(joined, seed)], np.uint64)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    n = len(tokens) - words + 1
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _COUNT_ROWS):
         part = hashes[i : i + _COUNT_ROWS]
@@ -54,6 +57,11 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    """The SimHash of a text: a bit is 1 if set in over half of its shingles' XXH64 values; no words give 0."""
+    return majority_bits(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long.  Null text counts as empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -251,10 +259,3 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     comp = reps.join(found, reps["rep"] == found["node"], "left").select(fresh_key(F.col("fp")).alias("_k"), F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     joined = prints.withColumn("_k", fresh_key(F.col("fp"))).join(comp, "_k").filter("fp = _fp")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 4) -> DataFrame:
-    """``docs`` with one document of each component, that with the least id; rows with a null id stay."""
-    found = near_duplicate_components(docs, id_col, text_col, words, budget)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")

@@ -1,8 +1,13 @@
-"""Near duplicates by exact Jaccard similarity of word shingles, as a prefix-filtered set join.
+"""Near duplicates by five-word Jaccard similarity: fingerprint links first, what they miss after them, all checked exactly.
 
-Two sets of similarity t or more have k of their first n - ceil(tn) + k shingles in common (all, where ceil(tn) is less
-than k), in any order that all sets share, so a set with fewer shared ones has no partner.  Common shingles, as a sample tells, come last in it, so that lines of many documents rarely lead to a
-pair.  The order decides the cost alone: each candidate is compared over whole texts, and no pair is missed.
+Documents are sets of shingle hashes.  The trie self-join of their SimHash fingerprints links the closest.  A fingerprint of
+64 bits can't reach down to a similarity of 0.8, where sets differ in ten bits on average, so documents also meet under the
+least of their shingles in KEYS random orders: sets of that similarity agree in each with a chance of 0.8, and miss all
+with 0.2 ** KEYS (4e-9).  Whichever way a pair was found, it counts only if the whole sets are similar.  Two filters, whose
+chance of losing such a pair is 1e-7 each, spare most others that comparison.
+
+A group of copies is linked by a pair or two a member: under each key, members are compared with one of them, and what that
+leaves in different components is compared by its pairs that both filters pass.
 """
 
 from __future__ import annotations
@@ -17,196 +22,216 @@ from pyspark.sql import functions as F
 
 from .common import batches_of_texts, cut, fresh_key, map_arrow, row_mark, sent, without_repeats
 from .components import connected_components
+from .simhash import fingerprint_links, majority_bits, shingle_hashes
 
 #: Similarity from which documents are near duplicates, as a fraction.
 SIMILAR = (4, 5)
-#: Shingles of their prefixes that similar sets share at least (k above).
-SHARED = 8
-#: Cells of a set's parity bits, a multiple of 64.
-PARITY = 1024
-#: Documents, on average, that the order of shingles is taken from, and the least of them that make one common.
-SAMPLE_DOCS = 4000
-COMMON_DOCS = 4
-#: Most common shingles that are sent to all tasks (16 bytes each).
-COMMON_SHINGLES = 100_000
-
-
-def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+#: Random orders under whose least shingle documents meet.
+KEYS = 12
+#: Bits in which fingerprints of similar sets differ at most: more than 26 of 64, of 10 on average, have a chance of 1e-7.
+WIDE_BUDGET = 26
+#: Sets of fewer shingles give too few votes for a bit; their fingerprints don't rule a pair out.
+FEW_SHINGLES = 32
+#: Partners of one document that a task compares it with.
+HUB_ROWS = 200
+#: Bytes of a shingle's hash that are compared.
+HASH_BYTES = 5
+
+#: Random orders whose least elements, a byte of each, tell how similar two sets may be; at a similarity of 0.8 fewer than
+#: AGREEING of them agree with a chance of 1e-7.
+SIGNATURE, AGREEING = 128, 78
+#: Members of a group that a task compares at once; larger groups are dealt out by pairs of parts.
+GROUP_ROWS = 1000
+
+_ODD, _ODD_2 = np.random.default_rng(31).integers(0, 1 << 63, (2, SIGNATURE), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     """The sorted distinct XXH64 values of a text's shingles; a text of fewer words is one shingle, none give an empty set."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.array([], np.uint64)
-    h = xxhash.xxh64_intdigest
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return np.array([h(joined, seed)], np.uint64)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    n = len(tokens) - words + 1
-    return np.unique(np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n))
-
-
-def _need(s: np.ndarray) -> int:
-    return min(SHARED, -(-SIMILAR[0] * len(s) // SIMILAR[1]))
-
-
-def _prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of which similar sets share _need(): uncommon ones first, by hash."""
-    if not len(s):
-        return s
-    rank = np.zeros(len(s), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        rank = np.where(common[at] == s, counts[at], 0)
-    a, b = SIMILAR
-    return s[np.lexsort((s, rank))[: len(s) - -(-a * len(s) // b) + _need(s)]]
+    return np.unique(shingle_hashes(text, words))
 
 
-def _common(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several sampled documents, sorted, and how many have them."""
-    parts = max(1, base.count() // SAMPLE_DOCS)
-    sample = base.select("_id", "_t").filter(F.pmod(F.xxhash64("_t", F.lit("sample")), F.lit(parts)) == 0)
+def least_keys(s: np.ndarray) -> np.ndarray:
+    """The least value of the set in each of SIGNATURE random orders."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in batches_of_texts(batches):
-            for t in texts:
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["h"])
+    def least(odd: np.ndarray, odd_2: np.ndarray) -> np.ndarray:
+        y = s * odd[:, None]
+        y ^= y >> np.uint64(32)
+        y *= odd_2[:, None]
+        return y.min(1)
 
-    counted = map_arrow(sample, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_DOCS)
-    rows = counted.orderBy(F.col("n").desc(), "h").limit(COMMON_SHINGLES).collect()
-    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.array([r.n for r in rows], np.int64)[order]
+    step = max(1, min(SIGNATURE, (1 << 18) // len(s)))
+    return np.concatenate([least(_ODD[i : i + step], _ODD_2[i : i + step]) for i in range(0, SIGNATURE, step)])
 
 
 def _prints(base: DataFrame, words: int, id_type: str) -> DataFrame:
-    """(_id, _mark, sid, need, prefix) of each row: sid is a hash of the whole set."""
-    common, counts = _common(base, words)
+    """(_id, _mark, sid, n, fp, keys, sig) of each row: sid is a hash of the whole set, keys are null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of_texts(batches):
             sets = [shingle_set(t, words) for t in texts]
             sid = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            prefix = pa.array([_prefix(s, common, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sid), pa.array([_need(s) for s in sets], pa.int32()), prefix], ["_id", "_mark", "sid", "need", "prefix"])
-
-    return map_arrow(base.select("_id", "_t", "_mark"), run, f"_id {id_type}, _mark long, sid long, need int, prefix array<long>")
-
+            fp = np.array([majority_bits(s) for s in sets], np.uint64).view(np.int64)
+            least = [least_keys(s) if len(s) else None for s in sets]
+            keys = pa.array([None if x is None else x[:KEYS].view(np.int64) for x in least], pa.list_(pa.int64()))
+            sig = pa.array([None if x is None else (x >> np.uint64(24)).astype(np.uint8).tobytes() for x in least], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sid), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp), keys, sig], ["_id", "_mark", "sid", "n", "fp", "keys", "sig"])
 
-def _shared(prints: DataFrame) -> DataFrame:
-    """(h, sid, need) of the prefix shingles that several sids have.  Shingles are dealt out by ranges as packed arrays."""
-    parts = 2 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = np.uint64(-(-(1 << 64) // parts))
+    return map_arrow(base.select("_id", "_t", "_mark"), run, f"_id {id_type}, _mark long, sid long, n int, fp long, keys array<long>, sig binary")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            n = np.diff(lists.offsets.to_numpy())
-            h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            sid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), n)
-            need = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8), n)
-            part = (h // width).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[order], np.arange(parts + 1))
-            used = np.flatnonzero(np.diff(at))
-            cells = [order[at[i] : at[i + 1]] for i in used]
-            packed = [pa.array([x[c].tobytes() for c in cells], pa.binary()) for x in (h, sid, need)]
-            yield pa.RecordBatch.from_arrays([pa.array(used), *packed], ["part", "h", "sid", "need"])
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = [[], [], []]
-        for batch in batches:
-            for own, column in zip(held, batch.columns[1:]):
-                own.extend(column.to_pylist())
-        h, sid, need = (np.frombuffer(b"".join(x), t) for x, t in zip(held, (np.uint64, np.uint64, np.uint8)))
-        held.clear()
-        order = np.lexsort((sid, h))
-        h, sid, need = h[order], sid[order], need[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.array([], np.int64)
-        last = np.append(first[1:], len(h)) - 1 if len(h) else first
-        several = np.repeat(sid[first] != sid[last], last - first + 1)
-        for i in range(0, len(h), 100_000):
-            keep = np.flatnonzero(several[i : i + 100_000]) + i
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(sid[keep].view(np.int64)), pa.array(need[keep].astype(np.int32))], ["h", "sid", "need"])
-
-    dealt = map_arrow(prints.select("sid", "need", "prefix"), deal, "part long, h binary, sid binary, need binary")
-    return map_arrow(dealt.repartition(parts, "part"), find, "h long, sid long, need int")
-
-
-def _sets(base: DataFrame, prints: DataFrame, sids: DataFrame, words: int) -> DataFrame:
-    """(sid, s, n, bits): whole sets of the given sids, their sizes, and the parity of the shingles in each of PARITY cells."""
-    wanted = sids.select(fresh_key(F.col("sid")).alias("_k"))
-    chosen = prints.withColumn("_k", fresh_key(F.col("sid"))).join(wanted, "_k", "left_semi").groupBy("sid").agg(F.min(F.struct("_id", "_mark")).alias("one"))
-    chosen = chosen.select(fresh_key(F.col("one._id"), F.col("one._mark")).alias("_k"), "sid")
-    chosen = sent(cut(chosen))
-    texts = base.select(fresh_key(F.col("_id"), F.col("_mark")).alias("_k"), "_t").join(chosen, "_k").select("sid", "_t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in batches_of_texts(batches):
-            sets = [shingle_set(t, words) for t in found]
-            bits = [np.packbits(np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) % 2 == 1).view(np.int64) for s in sets]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists[0], pa.array([len(s) for s in sets], pa.int64()), lists[1]], ["sid", "s", "n", "bits"])
 
-    # Rows that agree in all columns give a set twice, and its pairs.
-    return map_arrow(texts, run, "sid long, s array<long>, n long, bits array<long>")
+def _may_be_similar(n: Column, m: Column, fp: Column, other: Column) -> Column:
+    """By size, and by the fingerprints' differing bits where the sets aren't small."""
+    a, b = SIMILAR
+    near = (F.bit_count(fp.bitwiseXOR(other)) <= WIDE_BUDGET) | (F.least(n, m) < FEW_SHINGLES)
+    return (a * F.greatest(n, m) <= b * F.least(n, m)) & near
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar.
+def _similar(pairs: DataFrame, base: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """The (u, v) of ``pairs`` whose whole sets are similar.
 
-    Sets differ in as many shingles at least as their parities do, and similar ones in few, which rules most others out.
+    The shingles of each v go to the task of its u, those of a u to as many tasks as its partners need.
     """
+    pairs = cut(pairs.select("u", "v").distinct())
+    many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("_g")).filter("_g > 1").select(fresh_key(F.col("u")).alias("_k"), "_g")
+    part = F.pmod(F.xxhash64("v", F.lit("part")), F.coalesce("_g", F.lit(1)))
+    dealt = pairs.withColumn("_k", fresh_key(F.col("u"))).join(many, "_k", "left").select("u", "v", F.xxhash64("u", part).alias("t"))
+    roles = dealt.select(F.col("v").alias("sid"), "t", F.lit(1).alias("kind")).union(dealt.select(F.col("u").alias("sid"), "t", F.lit(0).alias("kind")).distinct())
+    one = reps.select(fresh_key(F.col("sid")).alias("_s"), fresh_key(F.col("one._id"), F.col("one._mark")).alias("_k"))
+    roles = cut(roles.withColumn("_s", fresh_key(F.col("sid"))).join(one, "_s").select("_k", "sid", "t", "kind"))
+    wanted = base.select(fresh_key(F.col("_id"), F.col("_mark")).alias("_k"), "_t").join(sent(roles), "_k").select("sid", "_t", "t", "kind")
     a, b = SIMILAR
-    slim = sent(sets.select("sid", "n", "bits"), 50_000)
-    side = lambda rows, c, *names: rows.select(fresh_key(F.col("sid")).alias(f"_{c}k"), *[F.col(x).alias(f"_{c}{x}") for x in names])
-    keyed = pairs.withColumns({"_uk": fresh_key(F.col("u")), "_vk": fresh_key(F.col("v"))})
-    total = F.col("_un") + F.col("_vn")
-    differ = F.aggregate(F.zip_with("_ubits", "_vbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = keyed.join(side(slim, "u", "n", "bits"), "_uk").filter("_un > 0").join(side(slim, "v", "n", "bits"), "_vk").filter((a * F.greatest("_un", "_vn") <= b * F.least("_un", "_vn")) & ((a + b) * differ <= (b - a) * total))
-    near = cut(near.select("u", "v", "_uk", "_vk"))
-    both = F.size(F.array_intersect("_us", "_vs"))
-    return near.join(side(sets, "u", "s"), "_uk").join(side(sets, "v", "s"), "_vk").filter(b * both >= a * (F.size("_us") + F.size("_vs") - both)).select("u", "v")
+    shift = np.uint64(64 - 8 * HASH_BYTES)
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches_of_texts(batches):
+            bits = [np.unique(shingle_set(t, words) >> shift).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), pa.array(bits, pa.binary())], ["t", "kind", "sid", "s"])
 
-def _pairs(rows: DataFrame, u: Column, v: Column) -> DataFrame:
-    return rows.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).filter("u != v").distinct()
+    def unpacked(data: bytes) -> np.ndarray:
+        out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+        out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+        return out.view("<u8").ravel()
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = hub = own = None
+        for batch in batches:
+            u, v = [], []
+            for t, kind, sid, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == 0:
+                    if t != task:
+                        task, hub, own = t, sid, unpacked(data)
+                    continue
+                other = unpacked(data)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if b * both >= a * (len(own) + len(other) - both):
+                    u.append(hub)
+                    v.append(sid)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = map_arrow(wanted, sets, "t long, kind int, sid long, s binary")
+    return cut(map_arrow(packed.repartition(parts, "t").sortWithinPartitions("t", "kind"), compare, "u long, v long").distinct())
+
+
+def _open_groups(cells: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows (g, i, sid, n, fp, c) of the groups whose members lie in several components c."""
+    if found is None:
+        placed = cells.select("g", "i", "sid", "n", "fp", F.col("sid").alias("c"))
+    else:
+        comp = found.select(fresh_key(F.col("node")).alias("_k"), "component")
+        placed = cells.withColumn("_k", fresh_key(F.col("sid"))).join(comp, "_k", "left").select("g", "i", "sid", "n", "fp", F.coalesce("component", "sid").alias("c"))
+    split = placed.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select(fresh_key(F.col("g")).alias("_k"))
+    return cut(placed.withColumn("_k", fresh_key(F.col("g"))).join(split, "_k", "left_semi").drop("_k"))
+
+
+def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(u, v): for each sid v the member that leads most of its groups, if the two may be similar."""
+    lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("o"), F.col("sid").alias("u"), F.col("n").alias("un"), F.col("fp").alias("ufp"), F.col("c").alias("uc")))
+    hubs = rows.groupBy("g").agg(lead.alias("x")).select(fresh_key(F.col("g")).alias("_k"), "x.*")
+    met = rows.withColumn("_k", fresh_key(F.col("g"))).join(hubs, "_k").filter((F.col("c") != F.col("uc")) & _may_be_similar(F.col("n"), F.col("un"), F.col("fp"), F.col("ufp")))
+    times = met.groupBy("sid", "u").agg(F.count(F.lit(1)).alias("times"))
+    return times.groupBy("sid").agg(F.max(F.struct("times", "u"))["u"].alias("u")).select("u", F.col("sid").alias("v"))
+
+
+def _group_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(u, v): members of a group that lie in different components and may be similar.
+
+    A task holds the fingerprints and signatures of a group; a group of more than GROUP_ROWS is dealt out by pairs of its parts.
+    Two members that share several keys are a pair in the group of the first one alone.
+    """
+    more = reps.select(fresh_key(F.col("sid")).alias("_k"), "sig", "keys")
+    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("p")).filter("p > 1").select(fresh_key(F.col("g")).alias("_k"), "p")
+    sized = rows.withColumn("_k", fresh_key(F.col("g"))).join(sizes, "_k", "left").drop("_k")
+    part = F.pmod(F.xxhash64("sid", F.lit("part")), F.col("p")).cast("int")
+    tasks = F.when(F.col("p").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.least(j, part) * F.col("p") + F.greatest(j, part)))
+    dealt = sized.withColumn("_k", fresh_key(F.col("sid"))).join(more, "_k").select(F.explode(tasks).alias("j"), "g", "i", "sid", "n", "fp", "c", "sig", "keys").select(F.xxhash64("g", "j").alias("t"), "i", "sid", "n", "fp", "c", "sig", "keys")
+    a, b = SIMILAR
 
-def similar_components(base: DataFrame, words: int, id_type: str) -> tuple[DataFrame, DataFrame]:
-    """(prints, components of sids over all similar pairs).  ``base``: _id, _mark, _t.
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sid, n, c = (t.column(k).to_numpy() for k in ("sid", "n", "c"))
+        key = t.column("i")[0].as_py()
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
+        fp = t.column("fp").to_numpy().view(np.uint64)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+        for i in range(0, len(sid), 256):
+            x = slice(i, i + 256)
+            least, most = np.minimum(n[x, None], n), np.maximum(n[x, None], n)
+            near = (sid[x, None] < sid) & (c[x, None] != c) & (a * most <= b * least)
+            near &= (np.bitwise_count(fp[x, None] ^ fp) <= WIDE_BUDGET) | (least < FEW_SHINGLES)
+            u, v = np.nonzero(near)
+            for k in range(0, len(u), 1 << 16):
+                p, q = u[k : k + (1 << 16)] + i, v[k : k + (1 << 16)]
+                good = ((sig[p] == sig[q]).sum(1) >= AGREEING) & ((keys[p] == keys[q]).argmax(1) == key)
+                yield pa.RecordBatch.from_arrays([pa.array(sid[p[good]]), pa.array(sid[q[good]])], ["u", "v"])
 
-    Of each shared shingle's sets, first the least and the greatest are compared with the rest; what that leaves in
-    different components is compared by all its pairs, so that a large group of near copies costs a few pairs a member.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            for own in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+                if not len(own):
+                    continue
+                if held and held[0].column(0)[0].as_py() != key[own[0]]:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(own[0], len(own)))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_arrow(dealt.repartition(parts, "t").sortWithinPartitions("t"), run, "u long, v long")
+
+
+def similar_components(base: DataFrame, words: int, id_type: str, budget: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(prints, components of sids over all similar pairs).  ``base``: _id, _mark, _t."""
     prints = cut(_prints(base, words, id_type))
-    ends = lambda rows: rows.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select(fresh_key(F.col("h")).alias("_k"), "lo", "hi")
-    shared = cut(_shared(prints))
-    able = shared.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).filter("n >= need").select(fresh_key(F.col("sid")).alias("_k"))
-    able = cut(shared.withColumn("_k", fresh_key(F.col("sid"))).join(able, "_k", "left_semi").select("h", "sid"))
-    hits = cut(able.withColumn("_k", fresh_key(F.col("h"))).join(ends(able), "_k").select("h", "sid", "lo", "hi"))
-    sets = cut(_sets(base, prints, hits.select("sid").distinct(), words))
-    sid = F.col("sid")
-    near = cut(_similar(_pairs(hits, sid, F.col("lo")).union(_pairs(hits, sid, F.col("hi"))).distinct(), sets))
-    found = connected_components(near)
-    comp = found.select(fresh_key(F.col("node")).alias("_k"), "component")
-    placed = hits.select("h", "sid", fresh_key(sid).alias("_k")).join(comp, "_k", "left").select("h", "sid", F.coalesce("component", "sid").alias("c"))
-    split = placed.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select(fresh_key(F.col("h")).alias("_k"))
-    open_ = cut(placed.withColumn("_k", fresh_key(F.col("h"))).join(split, "_k", "left_semi").select("_k", "sid", "c").distinct())
-    other = open_.select("_k", F.col("sid").alias("sid2"), F.col("c").alias("c2"))
-    rest = _pairs(open_.join(other, "_k").filter("c != c2 AND sid < sid2"), sid, F.col("sid2"))
-    return prints, connected_components(near.union(cut(_similar(rest, sets))))
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    reps = cut(prints.filter("n > 0").groupBy("sid").agg(F.min(F.struct("_id", "_mark")).alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+    # Equal fingerprints, and fingerprints within the trie's budget.
+    firsts = reps.groupBy("fp").agg(F.min("sid").alias("rep"))
+    same = reps.withColumn("_k", fresh_key(F.col("fp"))).join(firsts.select(fresh_key(F.col("fp")).alias("_k"), "rep"), "_k").filter("sid != rep").select(F.col("rep").alias("u"), F.col("sid").alias("v"))
+    close = same.union(fingerprint_links(cut(firsts), budget))
+    # Groups of sets with a least shingle in common.
+    cells = reps.select("sid", "n", "fp", F.posexplode("keys").alias("i", "key")).select(F.xxhash64("i", "key").alias("g"), "i", "sid", "n", "fp")
+    cells = _open_groups(cells, None).drop("c")
+    alone = cells.withColumn("c", F.col("sid"))
+    near = _similar(close.union(_hub_pairs(alone, 0)), base, reps, words)
+    for turn in (1, 2):
+        rest = _open_groups(cells, connected_components(near))
+        near = near.union(_similar(_hub_pairs(rest, turn), base, reps, words))
+    rest = _open_groups(cells, connected_components(near))
+    return prints, connected_components(near.union(_similar(_group_pairs(rest, reps), base, reps, words)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 4) -> DataFrame:
     """``docs`` with one row of each component of documents whose shingles have Jaccard similarity 0.8 or more.
 
     The row with the least id stays; a null id loses to any other, and among equal or null ids the least hash of the whole
-    row stays.  Null text counts as empty, and texts without words are one group.  Columns are unchanged.
+    row stays.  Rows that repeat an id with different texts are looked at each for itself.  Null text counts as empty, and
+    texts without words are one group.  An empty table gives no rows.  Columns are unchanged.
     """
     base = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), row_mark(docs).alias("_mark"), F.col(text_col).cast("string").cast("binary").alias("_t"))
-    prints, comp = similar_components(base, words, docs.schema[id_col].dataType.simpleString())
+    prints, comp = similar_components(base, words, docs.schema[id_col].dataType.simpleString(), budget)
     comp = comp.select(fresh_key(F.col("node")).alias("_k"), "component")
     placed = prints.select("_id", "_mark", "sid", fresh_key(F.col("sid")).alias("_k")).join(comp, "_k", "left").select("_id", "_mark", F.coalesce("component", "sid").alias("_g"))
     return without_repeats(base, placed, F.struct(F.col("_id").isNull(), "_id", "_mark"), docs.columns)

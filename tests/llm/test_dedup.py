@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, exact_dedup, simhash
+from lodestone.llm import components, exact_dedup, similar, simhash
 from lodestone.llm.common import fresh_key
 
 SCHEMA = "doc_id long, text string, keep_id string, _k long, _row string"
@@ -55,7 +55,7 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert exact_dedup.drop_exact_duplicates(empty).count() == 0
     assert simhash.near_duplicate_components(empty).count() == 0
-    assert simhash.drop_near_duplicates(empty).count() == 0
+    assert similar.drop_near_duplicates(empty).count() == 0
 
 
 def test_fresh_key_splits_from_grouping(spark):
@@ -131,9 +131,15 @@ def test_near_duplicates_with_nulls_ties_and_empties(spark):
     assert len(got) == len(rows)
     assert byid == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, None: 1, 6: 6}
     assert {g[2] for g in got if g[0] in (4, 5)} == {"0" * 16}
-    kept = simhash.drop_near_duplicates(docs)
+    kept = similar.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 4, 6, 6, None], key=repr)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6]
+
+
+def test_no_text_is_lost_with_a_repeated_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[0]) for r in similar.drop_near_duplicates(docs).collect()) == [(1, "a"), (5, "b")]
 
 
 @settings(deadline=None, max_examples=5)

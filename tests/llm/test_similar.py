@@ -26,10 +26,11 @@ def groups(texts):
     return label
 
 
-@pytest.mark.parametrize("common_docs", [2, 10**9])
-def test_near_stage_against_brute_force(spark, monkeypatch, common_docs):
-    monkeypatch.setattr(similar, "COMMON_DOCS", common_docs)
-    rng = random.Random(3)
+@pytest.mark.parametrize(("hub_rows", "seed"), [(1000, 3), (2, 4)])
+def test_near_stage_against_brute_force(spark, monkeypatch, hub_rows, seed):
+    monkeypatch.setattr(similar, "HUB_ROWS", hub_rows)
+    monkeypatch.setattr(similar, "GROUP_ROWS", 5 * hub_rows)
+    rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(500)]
     line = rng.choices(vocabulary, k=30)
     rows = []
