@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_key
+from .common import cut, fresh_key, release
 
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         e = cut(_small_star(_large_star(e)))
+        release(edges.sparkSession)
         # A star forest is a fixed point; its edges are as many as before and their ends sum to the same.
         row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (row.n, row.s) == before:

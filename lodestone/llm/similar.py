@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, cut, fresh_key, map_arrow, row_mark, sent, without_repeats
+from .common import batches_of_texts, cut, fresh_key, map_arrow, release, row_mark, sent, without_repeats
 from .components import connected_components
 from .simhash import fingerprint_links, majority_bits, shingle_hashes
 
@@ -131,7 +131,9 @@ def _similar(pairs: DataFrame, base: DataFrame, reps: DataFrame, words: int) ->
 
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = map_arrow(wanted, sets, "t long, kind int, sid long, s binary")
-    return cut(map_arrow(packed.repartition(parts, "t").sortWithinPartitions("t", "kind"), compare, "u long, v long").distinct())
+    found = cut(map_arrow(packed.repartition(parts, "t").sortWithinPartitions("t", "kind"), compare, "u long, v long").distinct())
+    release(base.sparkSession)
+    return found
 
 
 def _open_groups(cells: DataFrame, found: DataFrame | None) -> DataFrame:
