@@ -27,11 +27,11 @@ def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of five-word-shingle similarity 0.8 or more: of each group the document with the least id stays.
+    """Operator 4: of each group of documents linked by a five-word-shingle similarity of 0.8 or more that with the least id stays.
 
-    Operator 4's fingerprints differ by 10 bits on average at that similarity, so whole sets of shingles are joined instead.
+    The fingerprints' trie links the closest; what a fingerprint can't reach is found by shared shingles; each link is checked.
     """
-    return similar.drop_similar(docs, words=5)
+    return similar.drop_near_duplicates(docs, words=5)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: the pieces of all documents and their places in sequences of 2048 tokens.
 
-    Each partition of the scan holds runs of the mixed order and is packed for itself, so that sequences keep to the mix.
+    Runs of the mixed order are packed each for itself, and numbers of sequences ascend from run to run, so that sequences
+    keep to the mix however the files are dealt to tasks.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=F.spark_partition_id())
+    return packing.pack_documents(packing.in_runs(docs), public_tokenizers.path("word_bpe_49k.json"), window=F.col("window"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
