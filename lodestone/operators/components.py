@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut
+from ..sources.tables import cut, release
 
 
 def _key(node: Column) -> Column:
@@ -35,20 +35,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(joined.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): for each node of ``edges`` (u, v), the least node that it can reach, itself included.
+def star_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component): for each node of ``edges`` (u, v) the least node that it can reach; the least ones have no row.
 
-    Self-loops, repeated edges and null ends may occur: edges with a null end are left out, and a node of self-loops alone has no
-    row.  An empty table gives no rows.  The graph must settle in ``max_rounds``, else it is an error.
+    Self-loops, repeated edges and null ends may occur: edges with a null end are left out, and a self-loop gives no row.  An empty table gives no rows.  The graph must settle in ``max_rounds``, else it is an error.
     """
     e = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         e = cut(_small_star(_large_star(e)))
+        release(edges.sparkSession)
         # A star forest is a fixed point; its edges are as many as before and their ends sum to the same.
         row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (row.n, row.s) == before:
-            found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return found.union(found.select("component", "component").distinct())
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = (row.n, row.s)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``star_forest`` and a row for each least node, its own component."""
+    found = star_forest(edges, max_rounds)
+    return found.union(found.select("component", "component").distinct())

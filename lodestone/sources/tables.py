@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import tempfile
 import uuid
@@ -31,6 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes shuffle files and checkpoints that nothing refers to.
+
+    Long chains of steps would else hold the files of all of them until the driver's memory runs full by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
     return posixpath.join(ensure_checkpoints(spark), f"{purpose}-{uuid.uuid4().hex}")
 
