@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import release  # noqa: F401
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -48,15 +50,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, upon which Spark deletes shuffle files and checkpoints that nothing refers to.
-
-    Long chains of steps would else hold the files of all of them until the driver's memory runs full by itself.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def fresh_key(*cols: Column) -> Column:
     """A join key that no earlier grouping is partitioned by.
 

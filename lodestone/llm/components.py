@@ -1,50 +1,5 @@
-"""Connected components by alternating star contraction, in grouped minima and joins only.
+"""Connected components of documents: the library's star contraction."""
 
-No step gathers a node's neighbours in one place: a group's minimum is a partial aggregate, and it returns to the
-edges by a join that the adaptive planner can split.  Rounds grow with the logarithm of the longest path.
-"""
+from ..operators.components import star_forest as connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut, fresh_key, release
-
-
-def _with_minimum(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and its neighbours v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(fresh_key(F.col("u")).alias("_k"), F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return edges.withColumn("_k", fresh_key(F.col("u"))).join(least, "_k").filter("u = _u").select("u", "v", "m")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """``edges`` run from the larger end u to the smaller v."""
-    joined = _with_minimum(edges)
-    moved = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(joined.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): for each node of ``edges`` (u, v), the least node that it can reach.
-
-    Self-loops, repeated edges and null ends may occur: null ends are left out, a self-loop gives no row.
-    An empty table gives no rows.
-    """
-    e = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut(e)
-    before = None
-    for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)))
-        release(edges.sparkSession)
-        # A star forest is a fixed point; its edges are as many as before and their ends sum to the same.
-        row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (row.n, row.s) == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = (row.n, row.s)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+__all__ = ["connected_components"]
