@@ -42,6 +42,8 @@ HASH_BYTES = 5
 SIGNATURE, AGREEING = 128, 78
 #: Members of a group that a task compares at once; larger groups are dealt out by pairs of parts.
 GROUP_ROWS = 1000
+#: Shingles of a part of a group, whose sets a task holds.
+GROUP_SHINGLES = 2_000_000
 
 _ODD, _ODD_2 = np.random.default_rng(31).integers(0, 1 << 63, (2, SIGNATURE), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -51,6 +53,18 @@ def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def _packed(text: bytes, words: int) -> bytes:
+    """A text's shingle set, HASH_BYTES of each hash."""
+    short = np.unique(shingle_set(text, words) >> np.uint64(64 - 8 * HASH_BYTES))
+    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
+
+
 def least_keys(s: np.ndarray) -> np.ndarray:
     """The least value of the set in each of SIGNATURE random orders."""
 
@@ -101,18 +115,12 @@ def _similar(pairs: DataFrame, base: DataFrame, reps: DataFrame, words: int) ->
     roles = cut(roles.withColumn("_s", fresh_key(F.col("sid"))).join(one, "_s").select("_k", "sid", "t", "kind"))
     wanted = base.select(fresh_key(F.col("_id"), F.col("_mark")).alias("_k"), "_t").join(sent(roles), "_k").select("sid", "_t", "t", "kind")
     a, b = SIMILAR
-    shift = np.uint64(64 - 8 * HASH_BYTES)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of_texts(batches):
-            bits = [np.unique(shingle_set(t, words) >> shift).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes() for t in texts]
+            bits = [_packed(t, words) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), pa.array(bits, pa.binary())], ["t", "kind", "sid", "s"])
 
-    def unpacked(data: bytes) -> np.ndarray:
-        out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
-        out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
-        return out.view("<u8").ravel()
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = hub = own = None
         for batch in batches:
@@ -120,9 +128,9 @@ def _similar(pairs: DataFrame, base: DataFrame, reps: DataFrame, words: int) ->
             for t, kind, sid, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 0:
                     if t != task:
-                        task, hub, own = t, sid, unpacked(data)
+                        task, hub, own = t, sid, _unpacked(data)
                     continue
-                other = unpacked(data)
+                other = _unpacked(data)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 if b * both >= a * (len(own) + len(other) - both):
                     u.append(hub)
@@ -156,53 +164,129 @@ def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return times.groupBy("sid").agg(F.max(F.struct("times", "u"))["u"].alias("u")).select("u", F.col("sid").alias("v"))
 
 
-def _group_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """(u, v): members of a group that lie in different components and may be similar.
+def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each task t, from batches sorted by t, their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        for own in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+            if not len(own):
+                continue
+            if held and held[0].column(0)[0].as_py() != key[own[0]]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(own[0], len(own)))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    A task holds the fingerprints and signatures of a group; a group of more than GROUP_ROWS is dealt out by pairs of its parts.
-    Two members that share several keys are a pair in the group of the first one alone.
+
+def _candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, mask over all rows) of blocks of a group's rows: which pairs of them may be similar.
+
+    Members of one component aren't a pair, nor are members that meet in the group of another key before, nor, where a task
+    holds two parts of a group, members of one part.
     """
+    a, b = SIMILAR
+    sid, n, c, part = (t.column(k).to_numpy() for k in ("sid", "n", "c", "part"))
+    key = t.column("i")[0].as_py()
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
+    fp = t.column("fp").to_numpy().view(np.uint64)
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+    across = (part != part[0]).any()
+    for i in range(0, len(sid), 256):
+        x = slice(i, i + 256)
+        least, most = np.minimum(n[x, None], n), np.maximum(n[x, None], n)
+        near = (sid[x, None] < sid) & (c[x, None] != c) & (a * most <= b * least)
+        near &= (np.bitwise_count(fp[x, None] ^ fp) <= WIDE_BUDGET) | (least < FEW_SHINGLES)
+        if across:
+            near &= part[x, None] != part
+        u, v = np.nonzero(near)
+        for k in range(0, len(u), 1 << 16):
+            p, q = u[k : k + (1 << 16)], v[k : k + (1 << 16)]
+            near[p, q] = ((sig[p + i] == sig[q]).sum(1) >= AGREEING) & ((keys[p + i] == keys[q]).argmax(1) == key)
+        yield i, near
+
+
+def _spanning_links(t: pa.Table) -> tuple[list[int], list[int]]:
+    """Links between rows of a group whose whole sets are similar, as many as join what they can join and no more.
+
+    One row's set is held against all its candidates' at once; those that a link has joined to it since are no candidates.
+    """
+    a, b = SIMILAR
+    sid = t.column("sid").to_numpy()
+    root = np.unique(t.column("c").to_numpy(), return_inverse=True)[1]
+    data = t.column("s").to_pylist()
+    size = np.array([len(x) // HASH_BYTES for x in data])
+    start = np.cumsum(size) - size
+    code = np.unique(_unpacked(b"".join(data)), return_inverse=True)[1].astype(np.int32)
+    own = np.zeros(code.max() + 1, bool)
+    us, vs = [], []
+    for i, near in _candidates(t):
+        for u in np.flatnonzero(near.any(1)):
+            v = np.flatnonzero(near[u] & (root != root[u + i]))
+            if not len(v):
+                continue
+            mine = code[start[u + i] : start[u + i] + size[u + i]]
+            own[mine] = True
+            first = np.cumsum(size[v]) - size[v]
+            both = np.add.reduceat(own[code[np.repeat(start[v] - first, size[v]) + np.arange(size[v].sum())]], first, dtype=np.int64)
+            own[mine] = False
+            for w in v[b * both >= a * (len(mine) + size[v] - both)]:
+                if root[w] != root[u + i]:
+                    us.append(sid[u + i])
+                    vs.append(sid[w])
+                    root[root == root[w]] = root[u + i]
+    return us, vs
+
+
+def _group_links(rows: DataFrame, reps: DataFrame, base: DataFrame, words: int) -> DataFrame:
+    """(u, v): links that join all members of a group which are similar and lie in different components.
+
+    A task first finds the members with a candidate by fingerprints and signatures; only their sets are sent to a second one.  A
+    group of more than GROUP_ROWS members or GROUP_SHINGLES shingles is dealt out by pairs of its parts.  Neither task returns
+    pairs: the first gives members, the second a spanning forest.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     more = reps.select(fresh_key(F.col("sid")).alias("_k"), "sig", "keys")
-    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("p")).filter("p > 1").select(fresh_key(F.col("g")).alias("_k"), "p")
+    need = F.greatest(F.count(F.lit(1)) / GROUP_ROWS, F.sum(F.col("n").cast("long")) / GROUP_SHINGLES)
+    sizes = rows.groupBy("g").agg(F.ceil(need).cast("int").alias("p")).filter("p > 1").select(fresh_key(F.col("g")).alias("_k"), "p")
     sized = rows.withColumn("_k", fresh_key(F.col("g"))).join(sizes, "_k", "left").drop("_k")
-    part = F.pmod(F.xxhash64("sid", F.lit("part")), F.col("p")).cast("int")
-    tasks = F.when(F.col("p").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.least(j, part) * F.col("p") + F.greatest(j, part)))
-    dealt = sized.withColumn("_k", fresh_key(F.col("sid"))).join(more, "_k").select(F.explode(tasks).alias("j"), "g", "i", "sid", "n", "fp", "c", "sig", "keys").select(F.xxhash64("g", "j").alias("t"), "i", "sid", "n", "fp", "c", "sig", "keys")
-    a, b = SIMILAR
+    sized = sized.withColumn("part", F.coalesce(F.pmod(F.xxhash64("sid", F.lit("part")), F.col("p")).cast("int"), F.lit(0)))
+    tasks = F.when(F.col("p").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.least(j, F.col("part")) * F.col("p") + F.greatest(j, F.col("part"))))
+    columns = ["i", "sid", "n", "fp", "c", "part", "sig", "keys"]
+    dealt = sized.withColumn("_k", fresh_key(F.col("sid"))).join(more, "_k").select(F.explode(tasks).alias("j"), "g", *columns).select(F.xxhash64("g", "j").alias("t"), *columns)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_task(batches):
+            some = np.zeros(len(t), bool)
+            for i, near in _candidates(t):
+                some[i : i + len(near)] |= near.any(1)
+                some |= near.any(0)
+            yield from t.filter(pa.array(some)).to_batches()
+
+    wanted = cut(map_arrow(dealt.repartition(parts, "t").sortWithinPartitions("t"), members, dealt.schema))
+    release(spark)
+    one = reps.select(fresh_key(F.col("sid")).alias("_s"), "sid", fresh_key(F.col("one._id"), F.col("one._mark")).alias("_k"))
+    seen = cut(wanted.select(fresh_key(F.col("sid")).alias("_s")).distinct().join(one, "_s").select("_k", "sid"))
+    texts = base.select(fresh_key(F.col("_id"), F.col("_mark")).alias("_k"), "_t").join(sent(seen), "_k").select("sid", "_t")
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        sid, n, c = (t.column(k).to_numpy() for k in ("sid", "n", "c"))
-        key = t.column("i")[0].as_py()
-        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
-        fp = t.column("fp").to_numpy().view(np.uint64)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-        for i in range(0, len(sid), 256):
-            x = slice(i, i + 256)
-            least, most = np.minimum(n[x, None], n), np.maximum(n[x, None], n)
-            near = (sid[x, None] < sid) & (c[x, None] != c) & (a * most <= b * least)
-            near &= (np.bitwise_count(fp[x, None] ^ fp) <= WIDE_BUDGET) | (least < FEW_SHINGLES)
-            u, v = np.nonzero(near)
-            for k in range(0, len(u), 1 << 16):
-                p, q = u[k : k + (1 << 16)] + i, v[k : k + (1 << 16)]
-                good = ((sig[p] == sig[q]).sum(1) >= AGREEING) & ((keys[p] == keys[q]).argmax(1) == key)
-                yield pa.RecordBatch.from_arrays([pa.array(sid[p[good]]), pa.array(sid[q[good]])], ["u", "v"])
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, whole in batches_of_texts(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(t, words) for t in whole], pa.binary())], ["sid", "s"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            for own in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
-                if not len(own):
-                    continue
-                if held and held[0].column(0)[0].as_py() != key[own[0]]:
-                    yield from pairs(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(own[0], len(own)))
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
+    # Rows that agree in id and mark are one text, several times.
+    held = map_arrow(texts, sets, "sid long, s binary").groupBy("sid").agg(F.first("s").alias("s")).select(fresh_key(F.col("sid")).alias("_k"), "s")
+    whole = wanted.withColumn("_k", fresh_key(F.col("sid"))).join(held, "_k").select("t", *columns, "s")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_task(batches):
+            u, v = _spanning_links(t)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(dealt.repartition(parts, "t").sortWithinPartitions("t"), run, "u long, v long")
+    found = cut(map_arrow(whole.repartition(parts, "t").sortWithinPartitions("t"), links, "u long, v long"))
+    release(spark)
+    return found
 
 
 def similar_components(base: DataFrame, words: int, id_type: str, budget: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +306,7 @@ def similar_components(base: DataFrame, words: int, id_type: str, budget: int =
         rest = _open_groups(cells, connected_components(near))
         near = near.union(_similar(_hub_pairs(rest, turn), base, reps, words))
     rest = _open_groups(cells, connected_components(near))
-    return prints, connected_components(near.union(_similar(_group_pairs(rest, reps), base, reps, words)))
+    return prints, connected_components(near.union(_group_links(rest, reps, base, words)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 4) -> DataFrame:
