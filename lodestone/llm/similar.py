@@ -155,9 +155,9 @@ def _open_groups(cells: DataFrame, found: DataFrame | None) -> DataFrame:
     return cut(placed.withColumn("_k", fresh_key(F.col("g"))).join(split, "_k", "left_semi").drop("_k"))
 
 
-def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(rows: DataFrame) -> DataFrame:
     """(u, v): for each sid v the member that leads most of its groups, if the two may be similar."""
-    lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("o"), F.col("sid").alias("u"), F.col("n").alias("un"), F.col("fp").alias("ufp"), F.col("c").alias("uc")))
+    lead = F.min(F.struct(F.xxhash64("sid").alias("o"), F.col("sid").alias("u"), F.col("n").alias("un"), F.col("fp").alias("ufp"), F.col("c").alias("uc")))
     hubs = rows.groupBy("g").agg(lead.alias("x")).select(fresh_key(F.col("g")).alias("_k"), "x.*")
     met = rows.withColumn("_k", fresh_key(F.col("g"))).join(hubs, "_k").filter((F.col("c") != F.col("uc")) & _may_be_similar(F.col("n"), F.col("un"), F.col("fp"), F.col("ufp")))
     times = met.groupBy("sid", "u").agg(F.count(F.lit(1)).alias("times"))
@@ -301,10 +301,7 @@ def similar_components(base: DataFrame, words: int, id_type: str, budget: int =
     cells = reps.select("sid", "n", "fp", F.posexplode("keys").alias("i", "key")).select(F.xxhash64("i", "key").alias("g"), "i", "sid", "n", "fp")
     cells = _open_groups(cells, None).drop("c")
     alone = cells.withColumn("c", F.col("sid"))
-    near = _similar(close.union(_hub_pairs(alone, 0)), base, reps, words)
-    for turn in (1, 2):
-        rest = _open_groups(cells, connected_components(near))
-        near = near.union(_similar(_hub_pairs(rest, turn), base, reps, words))
+    near = _similar(close.union(_hub_pairs(alone)), base, reps, words)
     rest = _open_groups(cells, connected_components(near))
     return prints, connected_components(near.union(_group_links(rest, reps, base, words)))
 
