@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..sources.tables import ensure_checkpoints
 from . import etl
-from .components import components
+from .components import components, star_forest
+from .near import close_forest, close_vectors  # noqa: F401
 
 
 def tf_idf(terms: DataFrame, id_col: str = "term", common: list[str] = (), down_weight: float = 0.1) -> DataFrame:
@@ -59,28 +60,9 @@ def term_clusters(terms: DataFrame, eps: float = 0.7, min_count: int = 2, common
     return canonical_map(every, other)
 
 
-def close_vectors(df: DataFrame, id_col: str, vector_col: str, most: float) -> DataFrame:
-    """(u, v), u < v: vectors of one length whose distance is below ``most`` of the greatest in the unit cube.
-
-    By the triangle inequality, near vectors lie in the same or the next ring around any point.  Rings around two points are
-    join keys, so that a pair in distant rings never meets.
-    """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    size = F.size(vector_col)
-    step = F.sqrt(size) * most
-    ring = lambda centre: F.floor(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - centre) * (x - centre))) / F.col("_step")).cast("long")
-    rows = df.filter(F.col(id_col).isNotNull() & (size > 0)).select(F.col(id_col).alias("id"), v.alias("_v"), step.alias("_step"), size.alias("_n"))
-    rows = rows.select("id", "_v", "_step", "_n", ring(F.lit(0.0)).alias("a"), ring(F.lit(0.25)).alias("b"))
-    near = F.explode(F.flatten(F.array(*[F.array(*[F.struct((F.col("a") + i).alias("a"), (F.col("b") + j).alias("b")) for j in (-1, 0, 1)]) for i in (-1, 0, 1)])))
-    left = rows.select(F.col("id").alias("u"), F.col("_v").alias("_x"), "_step", "_n", near.alias("_k")).select("u", "_x", "_step", "_n", "_k.*")
-    right = rows.select(F.col("id").alias("v"), F.col("_v").alias("_y"), "_n", "a", "b")
-    far = F.sqrt(F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, d: t + d))
-    return left.join(right, ["_n", "a", "b"]).filter("u < v").filter(far < F.col("_step")).select("u", "v")
-
-
 def orthogonal_members(df: DataFrame, id_col: str, vector_col: str, most: float = 0.2) -> DataFrame:
     """``df`` without the members of each component of close vectors but that of the least id."""
-    found = components(close_vectors(df, id_col, vector_col, most)).filter("node <> component").select(F.col("node").alias(id_col))
+    found = star_forest(close_forest(df, id_col, vector_col, most)).select(F.col("node").alias(id_col))
     return df.join(found, id_col, "left_anti")
 
 
