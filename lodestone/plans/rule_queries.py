@@ -261,7 +261,7 @@ _CLOSE = "p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embed
 def similar_components(t: Tables) -> DataFrame:
     from ..operators.components import components
 
-    return components(clustering.close_vectors(t.embeddings, "vec_id", "embedding", 0.12))
+    return components(clustering.close_forest(t.embeddings, "vec_id", "embedding", 0.12))
 
 
 @query("VEC-16", f"WITH RECURSIVE {_CLOSE} SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT n FROM c WHERE l < n)", views=False)

@@ -90,3 +90,24 @@ def test_distances_at_the_limit(spark, small_tiles, shift):
     for most in (0.25 / math.sqrt(2), math.nextafter(0.25 / math.sqrt(2), 1), 0.25):
         want = {(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if far(a, b) < math.sqrt(2) * most}
         assert {(r.u, r.v) for r in clustering.close_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", most).collect()} == want
+
+
+def test_similar_components_of_a_table_with_a_large_group(spark, tmp_path):
+    from lodestone.plans import QUERIES
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(9000, 64))
+    x[::6] = x[0] + rng.normal(size=(1500, 64)) * 0.1
+    x[1:1500:6] = x[3001:4500:6] + rng.normal(size=(250, 64)) * 0.1
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    spark.createDataFrame([(i, r.tolist(), i % 10) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    began = time.time()
+    got = {r.node: r.component for r in QUERIES["similar_components"].run(spark, str(tmp_path)).collect()}
+    took = time.time() - began
+    y = x.astype("float32").astype("float64")
+    links = []
+    for at in range(0, len(y), 500):
+        i, j = np.nonzero(2 - 2 * y[at : at + 500] @ y.T < 0.96**2)
+        links += [(u, v) for u, v in zip((i + at).tolist(), j.tolist()) if u < v]
+    assert len(links) > 1_000_000 and got == groups(links) and list(got.values()).count(0) >= 1500
+    assert took < 60
